@@ -6,23 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import quality_rules
+from tidelog.llm import quality_rules, secret_scan, source_mix, token_planes
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_planes.op3_token_planes(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op4_secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op5_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.op8_source_mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_token_planes": op3_token_planes,
+        "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
+        "op8_source_mix": op8_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality_rules.OP5_SQL,
+        "op8_source_mix": source_mix.OP8_SQL,
     }
