@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import quality_rules, secret_scan, source_mix, token_planes
+from tidelog.llm import ngram_join, quality_rules, secret_scan, source_mix, token_planes
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,12 +28,17 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.op8_source_mix(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op10_ngram_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_token_planes": op3_token_planes,
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
         "op8_source_mix": op8_source_mix,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
@@ -41,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality_rules.OP5_SQL,
         "op8_source_mix": source_mix.OP8_SQL,
+        "op10_ngram_join": ngram_join.OP10_SQL,
     }
