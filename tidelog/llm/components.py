@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import written
 
+#: Signatures with more nodes than this are not compared pair by pair.
+SMALL_BUCKET = 64
+ROUNDS = 4
+
 
 def connected(links: DataFrame) -> DataFrame:
     """node, label: each node of links (a, b) with the smallest node that it reaches.
@@ -26,3 +32,54 @@ def connected(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return labels
+
+
+def settled_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The written table (a, b) of verified links, whose components are those of all links.
+
+    met has (sig, pivot, node) for each node after the first with a signature; nodes that are
+    linked share a signature. verify gives (a, b, similar) for pairs (a, b). Each node is verified
+    against the pivot it shares most signatures with, then against its pivots in other components:
+    never all pairs of a signature. One whose nodes then lie in one component is settled. Of the
+    others, small ones compare what is left across components; nodes of large ones get signatures
+    of another kind from again(nodes, seed), under which linked nodes share one as well, until
+    none is left. Should large ones remain after ROUNDS, what is left of them is compared too.
+    """
+    shared = met.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
+    tested = written(verify(best.select(*_ordered("pivot", "node")).distinct()), "tested")
+    for seed in range(1, ROUNDS + 1):
+        rest = _unsettled(met, connected(tested.where("similar")))
+        star = rest.where("is_pivot = 0").select(*_ordered("pivot", "node")).distinct()
+        tested = _also(tested, star, verify)
+        rest = written(_unsettled(met, connected(tested.where("similar"))), "unsettled")
+        if rest.isEmpty():
+            break
+        sizes = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+        small = rest.join(sizes.where((F.col("n") <= SMALL_BUCKET) | F.lit(seed == ROUNDS)), "sig")
+        cross = small.alias("x").join(small.alias("y"), F.expr("x.sig = y.sig AND x.label < y.label")).select(*_ordered("x.node", "y.node")).distinct()
+        tested = _also(tested, cross, verify)
+        large = written(rest.join(sizes.where(F.col("n") > SMALL_BUCKET), "sig").select("node").distinct(), "large")
+        if seed == ROUNDS or large.isEmpty():
+            break
+        met = again(large, seed)
+    return tested.where("similar").select("a", "b")
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, node, pivot, is_pivot, label of all nodes of the signatures that reach over components."""
+    pivots = met.select("sig", F.col("pivot").alias("node"), "pivot", F.lit(1).alias("is_pivot")).dropDuplicates(["sig"])
+    nodes = met.select("sig", "node", "pivot", F.lit(0).alias("is_pivot")).unionByName(pivots)
+    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    over = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
+    return labelled.join(over, "sig", "left_semi")
+
+
+def _also(tested: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """tested with those of the pairs that have not been tested yet."""
+    new = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return written(tested.unionByName(verify(new)), "tested")

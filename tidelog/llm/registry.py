@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import ngram_join, quality_rules, secret_scan, source_mix, token_planes
+from tidelog.llm import decontaminate, ngram_join, quality_rules, secret_scan, source_mix, span_dedup, token_planes
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op5_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.op6_span_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op7_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.op8_source_mix(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def queries() -> dict[str, Query]:
         "op3_token_planes": op3_token_planes,
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
+        "op6_span_dedup": op6_span_dedup,
+        "op7_decontaminate": op7_decontaminate,
         "op8_source_mix": op8_source_mix,
         "op10_ngram_join": op10_ngram_join,
     }

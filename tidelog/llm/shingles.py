@@ -9,7 +9,7 @@ _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(_U)
 _STEP = _U(0x9E3779B97F4A7C15 | 1)
 _STEP_INVERSE = _U(pow(int(_STEP), -1, 2**64))
-_PLACE = (_RNG.integers(1, 2**63, 16, dtype=np.int64).astype(_U) << _U(1)) | _U(1)
+_PLACE = (_RNG.integers(1, 2**63, 256, dtype=np.int64).astype(_U) << _U(1)) | _U(1)
 _powers = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
 
 #: Bytes that separate words, once A-Z are in lower case: white space alone, or all ASCII but a-z and 0-9.
@@ -34,21 +34,29 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(text: str | None, separators: np.ndarray = SPACE) -> np.ndarray:
-    """A hash for each word of the text, A-Z lower-cased; none for null."""
+def text_words(text: str | None, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text's bytes, A-Z lower-cased, and first byte, end byte and hash of each word."""
     data = np.frombuffer((text or "").encode("utf-8", "replace").lower(), dtype=np.uint8)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = ~separators[data]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.zeros(0, dtype=_U)
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return data, starts, ends, sequence_hashes(_BYTE[data], starts, ends) if len(starts) else np.zeros(0, dtype=_U)
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch [start, end) of a row of 64-bit values."""
+    up, down = _power(len(values))
+    total = np.zeros(len(values) + 1, dtype=_U)
+    np.cumsum(values * up[: len(values)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
+def word_hashes(text: str | None, separators: np.ndarray = SPACE) -> np.ndarray:
+    """A hash for each word of the text, A-Z lower-cased; none for null."""
+    return text_words(text, separators)[3]
+
+
 def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A hash for each run of width consecutive words."""
     n = len(words) - width + 1
