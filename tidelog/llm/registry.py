@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, ngram_join, quality_rules, secret_scan, source_mix, span_dedup, token_planes
+from tidelog.llm import decontaminate, ngram_join, quality_rules, secret_scan, source_mix, span_dedup, token_planes, toxicity
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.op8_source_mix(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op10_ngram_join(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Query]:
         "op6_span_dedup": op6_span_dedup,
         "op7_decontaminate": op7_decontaminate,
         "op8_source_mix": op8_source_mix,
+        "op9_toxicity": op9_toxicity,
         "op10_ngram_join": op10_ngram_join,
     }
 
