@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, ngram_join, quality_rules, secret_scan, source_mix, span_dedup, token_planes, toxicity
+from tidelog.llm import decontaminate, license_scan, ngram_join, quality_rules, secret_scan, source_mix, span_dedup, token_planes, toxicity
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op2_license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.op3_token_planes(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_license_scan": op2_license_scan,
         "op3_token_planes": op3_token_planes,
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_rules": op5_quality_rules,
@@ -59,6 +64,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_license_scan": license_scan.OP2_SQL,
         "op5_quality_rules": quality_rules.OP5_SQL,
         "op8_source_mix": source_mix.OP8_SQL,
         "op10_ngram_join": ngram_join.OP10_SQL,
