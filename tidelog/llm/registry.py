@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontaminate, license_scan, ngram_join, quality_rules, secret_scan, source_mix, span_dedup, token_planes, toxicity
+import corpus_pipeline
+from tidelog.llm import decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, source_mix, span_dedup, token_planes, toxicity
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op1_line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op2_license_scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_license_scan": op2_license_scan,
         "op3_token_planes": op3_token_planes,
         "op4_secret_scan": op4_secret_scan,
@@ -59,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op8_source_mix": op8_source_mix,
         "op9_toxicity": op9_toxicity,
         "op10_ngram_join": op10_ngram_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
