@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidelog.operators import graphs, hashing, keyvalue, ordering, reports, runs, sketches, texts
+from tidelog.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (graphs, hashing, keyvalue, ordering, reports, runs, sketches, texts)
 
 
 def queries() -> dict[str, Query]:
     """Name -> (spark, sf_dir) -> DataFrame."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {}
+    return dict(SQL)
