@@ -58,7 +58,7 @@ RULES = (
     Rule("few symbols", "n_symbols", "<=", 10, "n_words"),
     Rule("few exclamation marks", "n_bangs", "<=", 15, "n_words"),
     Rule("some stop words", "n_stop_words", ">=", 2, "n_words"),
-    Rule("few repeated lines", "n_dup_lines", "<=", 30, "n_lines"),
+    Rule("few repeated lines", "n_dup_lines", "<=", 40, "n_lines"),
     Rule("few list lines", "n_list_lines", "<=", 90, "n_lines"),
     Rule("few cut lines", "n_cut_lines", "<=", 30, "n_lines"),
 )
