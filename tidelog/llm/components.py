@@ -34,52 +34,72 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def settled_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """The written table (a, b) of verified links, whose components are those of all links.
+def settled_labels(met: DataFrame, verify: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """node, label of the components of all links; nodes without a link may be absent.
 
     met has (sig, pivot, node) for each node after the first with a signature; nodes that are
-    linked share a signature. verify gives (a, b, similar) for pairs (a, b). Each node is verified
-    against the pivot it shares most signatures with, then against its pivots in other components:
-    never all pairs of a signature. One whose nodes then lie in one component is settled. Of the
-    others, small ones compare what is left across components; nodes of large ones get signatures
-    of another kind from again(nodes, seed), under which linked nodes share one as well, until
-    none is left. Should large ones remain after ROUNDS, what is left of them is compared too.
+    linked share a signature; hubs take the pivots' place. verify gives (a, b, similar) for pairs (a, b). Each node is verified
+    against the pivot it shares most signatures with: never all pairs of a signature. One whose
+    nodes then lie in one component is settled. Of the others, small ones compare what is left
+    across components, and large ones each node with its pivot; nodes of large ones that reach over
+    components even then get signatures of another kind from again(nodes, seed), under which
+    linked nodes share one as well, until none is left. Should large ones remain after ROUNDS, what
+    is left of them is compared too.
     """
+    met = written(_to_hubs(met), "hubs")
     shared = met.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     tested = written(verify(best.select(*_ordered("pivot", "node")).distinct()), "tested")
+    labels = connected(tested.where("similar"))
     for seed in range(1, ROUNDS + 1):
-        rest = _unsettled(met, connected(tested.where("similar")))
-        star = rest.where("is_pivot = 0").select(*_ordered("pivot", "node")).distinct()
-        tested = _also(tested, star, verify)
-        rest = written(_unsettled(met, connected(tested.where("similar"))), "unsettled")
+        rest = written(_unsettled(met, labels), "unsettled")
         if rest.isEmpty():
             break
         sizes = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-        small = rest.join(sizes.where((F.col("n") <= SMALL_BUCKET) | F.lit(seed == ROUNDS)), "sig")
-        cross = small.alias("x").join(small.alias("y"), F.expr("x.sig = y.sig AND x.label < y.label")).select(*_ordered("x.node", "y.node")).distinct()
-        tested = _also(tested, cross, verify)
-        large = written(rest.join(sizes.where(F.col("n") > SMALL_BUCKET), "sig").select("node").distinct(), "large")
-        if seed == ROUNDS or large.isEmpty():
+        small = rest.join(sizes.where((F.col("n") <= SMALL_BUCKET) | F.lit(seed == ROUNDS)), "sig", "left_semi")
+        cross = small.alias("x").join(small.alias("y"), F.expr("x.sig = y.sig AND x.label < y.label")).select(*_ordered("x.node", "y.node"))
+        ends = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+        apart = rest.where("is_pivot = 0").join(ends, "pivot", "left").where(F.col("label") != F.coalesce("pivot_label", "pivot"))
+        star = apart.select(*_ordered("pivot", "node"))
+        new = written(verify(cross.union(star).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")), "tested")
+        tested = tested.unionByName(new)
+        if not new.where("similar").isEmpty():
+            labels = connected(tested.where("similar"))
+        if seed == ROUNDS:
             break
-        met = again(large, seed)
-    return tested.where("similar").select("a", "b")
+        large = rest.select("sig", "node").join(sizes.where(F.col("n") > SMALL_BUCKET), "sig", "left_semi")
+        large = _over(large, labels).select("node").distinct()
+        large = written(large, "large")
+        if large.isEmpty():
+            break
+        met = written(_to_hubs(again(large, seed)), "hubs")
+    return labels
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _to_hubs(met: DataFrame) -> DataFrame:
+    """met with another pivot for each signature: the node that meets most others over all of its
+    signatures. In a group of near copies that is the one nearest to what they were copied from,
+    with which more of them are linked than with any other."""
+    pivots = met.select("sig", F.col("pivot").alias("node")).dropDuplicates(["sig"])
+    nodes = met.select("sig", "node").unionByName(pivots)
+    sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    scores = nodes.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("score"))
+    hubs = nodes.join(scores, "node").groupBy("sig").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"))
+    return nodes.join(hubs, "sig").where("node <> pivot").select("sig", "pivot", "node")
+
+
 def _unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
     """sig, node, pivot, is_pivot, label of all nodes of the signatures that reach over components."""
     pivots = met.select("sig", F.col("pivot").alias("node"), "pivot", F.lit(1).alias("is_pivot")).dropDuplicates(["sig"])
-    nodes = met.select("sig", "node", "pivot", F.lit(0).alias("is_pivot")).unionByName(pivots)
+    return _over(met.select("sig", "node", "pivot", F.lit(0).alias("is_pivot")).unionByName(pivots), labels)
+
+
+def _over(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (sig, node, ...) of signatures that reach over components, with their labels."""
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     over = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
     return labelled.join(over, "sig", "left_semi")
-
-
-def _also(tested: DataFrame, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """tested with those of the pairs that have not been tested yet."""
-    new = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return written(tested.unionByName(verify(new)), "tested")
