@@ -1,4 +1,4 @@
-"""All registered queries of the reference's operators, with their SQL."""
+"""All registered queries of logs, runs, graphs, sketches and texts, with their SQL."""
 
 from __future__ import annotations
 
