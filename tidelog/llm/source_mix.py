@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import bound, space_words, written
+from tidelog.llm.common import space_words, written
 
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
