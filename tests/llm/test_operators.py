@@ -292,6 +292,21 @@ def test_line_dedup(spark):
     assert got == {d: ",".join(map(str, sorted(x))) for d, x in gone.items()}
 
 
+def test_line_dedup_finds_edited_lines(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(2, 9)))
+    docs = []
+    for k in range(300):
+        line = " ".join(word() for _ in range(rng.choice([5, 12, 40])))
+        changed = list(line)
+        for at in rng.sample([i for i, c in enumerate(line) if c != " "], 1 + k % 2 * (len(line) // 50)):
+            changed[at] = "z"
+        assert 100 * edits(line, "".join(changed)) <= 10 * len(line)
+        docs += [(2 * k, line, "a"), (2 * k + 1, "".join(changed), "a")]
+    got = {r.doc_id for r in line_dedup.op1_line_dedup(frame(spark, docs)).collect()}
+    assert got <= {2 * k + 1 for k in range(300)} and len(got) >= 290
+
+
 def test_toxicity(spark):
     rng = random.Random(12)
     docs, labels = [], []
