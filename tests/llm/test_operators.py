@@ -307,6 +307,12 @@ def test_line_dedup_finds_edited_lines(spark):
     assert got <= {2 * k + 1 for k in range(300)} and len(got) >= 290
 
 
+def test_line_dedup_takes_short_lines(spark):
+    docs = [(k, f"share this\n{k} {WORDS[k]} of {WORDS[k + 7]}\nOK.\n\n--", "a") for k in range(0, 200, 10)]
+    got = {r.doc_id: r.removed for r in line_dedup.op1_line_dedup(frame(spark, docs)).collect()}
+    assert got == {k: "0,2" for k in range(10, 200, 10)}
+
+
 def test_toxicity(spark):
     rng = random.Random(12)
     docs, labels = [], []
