@@ -200,6 +200,19 @@ def test_span_dedup(spark):
         assert got[doc_id].text.split() == " ".join(x.lower() for i, x in enumerate(s) if i not in lost).split() or cut(got[doc_id].text) == [x for i, x in enumerate(s) if i not in lost]
 
 
+def test_span_dedup_finds_passages_without_sentences(spark):
+    rng = random.Random(41)
+    docs, verse = [], "\n".join(prose(rng, 2) for _ in range(30))
+    for k in range(60):
+        passage = prose(rng, 51)
+        docs += [(2 * k, f"{prose(rng, 20 + k % 9)} {passage} {prose(rng, 30)}.", "a"), (2 * k + 1, f"{prose(rng, 17)} {passage} {prose(rng, 12 + k % 7)}", "a")]
+    line = prose(rng, 12)
+    docs += [(200 + k, f"{prose(rng, 3)}\n{verse}\n{prose(rng, 3)}", "a") for k in range(3)] + [(300, line, "a"), (301, line, "a"), (310, "w " * 444, "a"), (311, "w " * 444, "a")]
+    got = {r.doc_id: r.text.split() for r in span_dedup.op6_span_dedup(frame(spark, docs)).collect()}
+    assert set(got) <= {*range(1, 120, 2), 201, 202, 301, 310, 311} and len([d for d in got if d < 120]) >= 59
+    assert len(got[201]) <= 20 and len(got[202]) <= 20 and got[301] == [] and got[311] == []
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_decontaminate(spark, rows, limit):
     rng = random.Random(9)

@@ -1,14 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends with a word that ends in . ! or ?, or before a line end. Every run of SPAN
-consecutive sentences with MIN_WORDS words or more is hashed; equal hashes are joined over the
-whole corpus; the first place of each (smallest id, then text, then place) stays, and sentences
-that any other place covers are removed.
+A sentence ends with a word that ends in . ! or ?, or before a line end; one of more than LONG
+words counts as several, cut after words whose hash is the smallest of REACH words on either side,
+so that a passage is cut alike wherever it stands. From each sentence a run grows until it has SPAN
+sentences and MIN_WORDS words, and is hashed; equal hashes are joined over the whole corpus; the
+first place of each (smallest id, then text, then place) stays, and sentences that any other place
+covers are removed.
 
 Defined results for unusual input: null, empty and blank texts have no sentences and stay; a
 repeated row (equal id and text) is the same document, so it doesn't count as a repeat of itself;
-rows with equal ids and other texts are documents of their own; null ids come first; texts with
-fewer than SPAN sentences have no run; an empty table gives an empty table; other columns are not
+rows with equal ids and other texts are documents of their own; null ids come first; a text
+of one sentence is a run by itself, if it has MIN_WORDS words; an empty table gives an empty table; other columns are not
 read.
 """
 
@@ -22,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import written
-from tidelog.llm.shingles import run_hashes, sequence_hashes, text_words
+from tidelog.llm.shingles import sequence_hashes, text_words
 
 #: Sentences in a run, and the words that it needs.
 SPAN = 2
 MIN_WORDS = 10
+#: Sentences of more words are cut: of shorter ones a passage of over 50 words has two whole ones.
+LONG = 16
+REACH = 3
 _ENDS = np.isin(np.arange(256), [0x21, 0x2E, 0x3F])
 
 
@@ -40,11 +45,24 @@ def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     last[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
     last[-1] = True
     to = np.flatnonzero(last) + 1
+    cut = np.repeat(np.diff(to, prepend=0) > LONG, np.diff(to, prepend=0))
+    for k in range(1, min(REACH, len(words) - 1) + 1):
+        cut[k:] &= words[k:] <= words[:-k]
+        cut[:-k] &= words[:-k] <= words[k:]
+    last |= cut
+    to = np.flatnonzero(last) + 1
     at = np.concatenate([[0], to[:-1]])
     begins = starts[at]
     return sequence_hashes(words, at, to), to - at, begins, np.append(begins[1:], len(data))
 
 
+def run_ends(words: np.ndarray, span: int, min_words: int) -> np.ndarray:
+    """The end sentence of the run from each of the first sentences; the rest have too few after them."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    to = np.maximum(np.searchsorted(total, total[:-1] + min_words), np.arange(len(words)) + min(span, len(words)))
+    return to[to <= len(words)]
+
+
 def runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """(run, doc_id, digest, place): a row for each run of sentences."""
 
@@ -53,11 +71,10 @@ def runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataF
             hashes, places = [], []
             for text in batch.column(2):
                 found, words, _, _ = sentences(text.as_py())
-                run = run_hashes(found, span)
-                total = np.concatenate([[0], np.cumsum(words)])
-                keep = np.flatnonzero(total[span:] - total[: len(run)] >= min_words) if len(run) else np.zeros(0, np.int64)
-                hashes.append(run[keep].view(np.int64))
-                places.append(keep.astype(np.int32))
+                to = run_ends(words, span, min_words)
+                at = np.arange(len(to))
+                hashes.append(sequence_hashes(found, at, to).view(np.int64))
+                places.append(at.astype(np.int32))
             at = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
             empty = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays(
@@ -89,10 +106,12 @@ def removed(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> Da
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for text, places in zip(batch.column(1), batch.column(2), strict=True):
                 content = text.as_py() or ""
-                _, _, begins, ends = sentences(content)
-                gone = np.zeros(len(begins) + 1, dtype=bool)
-                for k in range(span):
-                    gone[places.values.to_numpy() + k] = True
+                _, words, begins, ends = sentences(content)
+                first = places.values.to_numpy()
+                open_runs = np.zeros(len(begins) + 1, dtype=np.int64)
+                np.add.at(open_runs, first, 1)
+                np.add.at(open_runs, run_ends(words, span, min_words)[first], -1)
+                gone = np.cumsum(open_runs) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])))
                 data = content.encode("utf-8", "replace")
                 kept = b"".join(data[a:b] for a, b, g in zip(begins.tolist(), ends.tolist(), gone, strict=False) if not g)
