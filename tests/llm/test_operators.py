@@ -83,7 +83,7 @@ def test_signatures_miss_no_similar_pair():
             for other in (b, c):
                 both = len(np.intersect1d(a, other))
                 if 100 * both >= 75 * (len(a) + len(other) - both):
-                    assert len(np.intersect1d(ngram_join.signatures(a, starts, 75), ngram_join.signatures(other, starts, 75)))
+                    assert len(np.intersect1d(ngram_join.signatures(a, len(a), starts, 75), ngram_join.signatures(other, len(other), starts, 75)))
 
 
 def test_quality_rules(spark, rows):

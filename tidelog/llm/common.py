@@ -69,6 +69,14 @@ def _delete_at_exit(spark: SparkSession, base: str) -> None:
     atexit.register(delete)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,28 +1,26 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's set holds its distinct shingles, as 64-bit hashes. Sizes are cut into bands by the
-least ratio two similar sets can have, so such sets lie in one band or in neighbouring bands. For
-each pair of neighbouring bands the feature domain is partitioned by hash and subsets of the
-partitions are enumerated: sets whose difference is as small as the threshold asks have at least
-one of these subsets wholly in common, and the hash of what a set has there is a signature. What
-shares no signature can't be similar.
-
-1. digests: each row's set size and set hash; rows of one set are one node from here on.
-2. signatures are packed by bucket (one row for each document and bucket, four bytes each), dealt
-   by bucket, and streamed past a table of the first node with each signature: memory is that of
-   the distinct signatures of a bucket, and a signature that very many nodes share costs each of
-   them one row, never a pair of them. Map tasks have sent each set once.
-3. each node is verified against the pivot it shares most signatures with, then against its other
-   pivots outside its component. Signatures whose nodes lie in one component are settled.
-4. of the others, small ones compare what is left across components; the nodes of large ones go
-   through steps 2 to 4 again under another partition of the domain. A similar pair shares a
-   signature under each, so it is compared, or already connected, as soon as one of its shared
-   signatures is settled; if large ones remain after ROUNDS, their pairs are all compared.
-
-Sets of 128 shingles or more give no signature of few elements (FEWEST), which any two documents
-with a passage in common may share. That is a probabilistic cut, not a proof: simulated pairs at the
-threshold share 45 signatures or more of the others on average and 29 at the least; as the counts
-are nearly Poisson, none at all should be rarer than one pair in 10^12. Smaller sets give every signature, the empty ones too.
+A document's set holds its distinct shingles, as 64-bit hashes; rows of one set are one node. Two
+sets of sizes a and b are similar if they differ in at most (a + b) * (1 - t) / (1 + t) elements.
+An element that no other set has differs from any partner's, so such elements use up a part of that
+budget and are left out of the rest:
+
+1. shared elements: all sets' elements are dealt by hash (see packing), those of two or more nodes
+   come back to their node, and nodes with more others than the budget are linked with nothing.
+2. signatures: sizes are cut into bands by the least ratio two similar sets can have, so such sets
+   lie in one band or in neighbouring ones. For each band the feature domain is partitioned by hash
+   into groups of cells and subsets of a group's cells are enumerated: what a set has in such a
+   subset is a signature, and sets within the budget have one in common. Signatures of few elements
+   (FEWEST), which unlike documents share too, are given only by a set whose other signatures
+   could all be spoiled within its budget; if either of two similar sets has enough of the others
+   they share one of those, and if neither has, both give all. So no similar pair is missed.
+3. of the nodes with a signature, the one with the fewest elements of its own is the pivot, the one
+   that copies are nearest to; nodes are verified against their pivots exactly. A key that very many
+   nodes share gives a row for each of them, never a pair.
+4. two nodes can only be similar if they have a pivot in common. Of those in different components,
+   pairs are left out whose counts of elements in 128 cells of the domain differ by more than the
+   budget; the others, close to the threshold, are verified, and components are joined. A pivot's
+   nodes are compared in blocks of BLOCK against BLOCK, so one task holds no more than two.
 
 Defined results for unusual input: null, empty and blank texts have an empty set and are linked
 with nothing; repeated rows and rows with equal ids are rows of their own, linked if their texts
@@ -34,26 +32,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
-from tidelog.llm.components import settled_labels
+from tidelog.llm import packing
+from tidelog.llm.common import free_name, written
+from tidelog.llm.components import connected
 from tidelog.llm.shingles import mixed, shingle_set
 
 WIDTH = 5
 #: Similar: 100 * intersection >= PER_CENT * union.
 PER_CENT = 75
-#: From this band size on, signatures of few elements aren't given.
-LARGE = 128
-#: From these band sizes on, signatures of fewer elements aren't given.
-FEWEST = ((1500, 7), (600, 6), (300, 5), (LARGE, 3), (0, 0))
-#: Shingles whose signatures one bucket takes.
-BUCKET_SHINGLES = 3_000_000
+#: Elements that a signature needs, by its band's first size, to be given without further ado.
+FEWEST = ((96, 3), (24, 2), (0, 1))
+#: Cells in which elements are counted to compare sets without their elements.
+CELLS = 128
+#: Nodes of one pivot that are compared at once with as many others.
+BLOCK = 2048
+#: Elements that a task packs at once, and sets that it remembers to have packed.
+_CHUNK = 1_000_000
+_SEEN = 200_000
 _U = np.uint64
+_SETS = "node bigint, n int, elements binary, cells binary"
 
 
 def bands(per_cent: int) -> np.ndarray:
@@ -65,57 +70,64 @@ def bands(per_cent: int) -> np.ndarray:
     return np.array(first, dtype=np.int64)
 
 
-def shape(first: int, after: int, per_cent: int) -> tuple[int, int, int]:
-    """(first-level partitions, second-level ones, of which a signature takes so many).
+def budget(a: int, b: int, per_cent: int) -> int:
+    """Elements in which similar sets of these sizes can differ."""
+    return (a + b) * (100 - per_cent) // (100 + per_cent)
+
 
-    For sets of a band [first, after) and larger ones similar to them: the smaller one, below
-    after, bounds how many elements can differ.
-    """
-    s = after - 1
-    k = (s + s * 100 // per_cent) * (100 - per_cent) // (100 + per_cent)
-    if first >= LARGE:
-        return -(-(k + 1) // 2), 3, 2
-    n1 = -(-(k + 1) // 3)
-    spoiled = -(-(k + 1) // n1) - 1
-    n2 = {0: 1, 1: 3, 2: 5}[spoiled]
-    return n1, n2, n2 - spoiled
+def shape(first: int, after: int, per_cent: int) -> tuple[int, int, int]:
+    """(groups, cells of a group, of which a signature takes so many) for sets of [first, after) and
+    larger ones similar to them: some group has no more errors than cells that a signature omits."""
+    k = budget(after - 1, (after - 1) * 100 // per_cent, per_cent)
+    if k < 2:
+        return 1, 2 * k + 1, k + 1
+    return (-(-(k + 1) // 3), 5, 3) if first < 64 else (-(-(k + 1) // 3), 4, 2)
 
 
 def fewest(first: int) -> int:
-    """Elements that a signature needs in this band."""
+    """Elements that a signature needs in the band that begins with this size."""
     return next(n for size, n in FEWEST if first >= size)
 
 
-def _subsets(n: int, m: int) -> list[tuple[int, ...]]:
-    from itertools import combinations
-
-    return list(combinations(range(n), m))
-
-
-def signatures(elements: np.ndarray, starts: np.ndarray, per_cent: int, seed: int = 0) -> np.ndarray:
-    """The signatures of a set: those of its own band and, for a set that could be the larger one
-    of a pair, those of the band below."""
-    size = len(elements)
-    own = int(np.searchsorted(starts, size, side="right")) - 1
+@cache
+def _subsets(cells: int, taken: int) -> tuple[tuple[tuple[int, ...], ...], np.ndarray]:
+    """The subsets of a group's cells, and for each set of them (as bits) the least number of cells
+    that meets all of these."""
+    subsets = tuple(combinations(range(cells), taken))
+    least = np.full(1 << len(subsets), cells, dtype=np.int64)
+    every = np.arange(1 << len(subsets))
+    for size in range(cells, -1, -1):
+        for hit in combinations(range(cells), size):
+            spoiled = sum(1 << i for i, s in enumerate(subsets) if set(s) & set(hit))
+            least[every & ~spoiled == 0] = size
+    return subsets, least
+
+
+def signatures(elements: np.ndarray, n: int, starts: np.ndarray, per_cent: int) -> np.ndarray:
+    """The signatures of a set of n elements, of which these are shared with others: those of its
+    own band and, for a set that could be the larger one of a pair, those of the band below."""
+    own = int(np.searchsorted(starts, n, side="right")) - 1
     found = []
     for band in (own, own - 1):
         # The band below matters only if one of its sizes is large enough for this one.
-        if band < 0 or (band < own and 100 * (int(starts[own]) - 1) < per_cent * size):
+        if band < 0 or (band < own and 100 * (int(starts[own]) - 1) < per_cent * n):
             continue
         first, after = int(starts[band]), int(starts[band + 1])
-        n1, n2, m = shape(first, after, per_cent)
-        spread = mixed(elements + _U((0x9E3779B97F4A7C15 * (band + 1 + 977 * seed)) % 2**64))
-        part = (spread % _U(n1 * n2)).astype(np.int64)
-        content = np.zeros(n1 * n2, dtype=_U)
+        groups, cells, taken = shape(first, after, per_cent)
+        spread = mixed(elements + _U((0x9E3779B97F4A7C15 * (band + 1)) % 2**64))
+        part = (spread % _U(groups * cells)).astype(np.int64)
+        content = np.zeros(groups * cells, dtype=_U)
         np.add.at(content, part, mixed(spread))
-        salt = mixed(np.arange(n1 * n2, dtype=_U) + _U(band * 1_000_003 + 1))
-        content = mixed(content ^ salt)
-        counts = np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
-        rows, least = content.reshape(n1, n2), fewest(first)
-        for k, subset in enumerate(_subsets(n2, m)):
-            sigs = mixed(rows[:, subset].sum(axis=1, dtype=_U) + _U(k + 1))
-            found.append(sigs[counts[:, subset].sum(axis=1) >= least])
-    return np.concatenate(found) if found else np.zeros(0, dtype=_U)
+        content = mixed(content ^ mixed(np.arange(groups * cells, dtype=_U) + _U(band * 1_000_003 + 1))).reshape(groups, cells)
+        counts = np.bincount(part, minlength=groups * cells).reshape(groups, cells)
+        subsets, least = _subsets(cells, taken)
+        sigs = np.stack([mixed(content[:, s].sum(axis=1, dtype=_U) + _U(i + 1)) for i, s in enumerate(subsets)], axis=1)
+        enough = np.stack([counts[:, s].sum(axis=1) for s in subsets], axis=1) >= fewest(first)
+        found.append(sigs[enough])
+        partner = n * 100 // per_cent if band == own else after - 1
+        if least[enough @ (1 << np.arange(len(subsets)))].sum() <= budget(n, partner, per_cent) - (n - len(elements)):
+            found.append(mixed(sigs[~enough]))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=_U)
 
 
 def set_hash(elements: np.ndarray) -> int:
@@ -124,157 +136,241 @@ def set_hash(elements: np.ndarray) -> int:
     return int(mixed(np.array([total], dtype=_U)).view(np.int64)[0])
 
 
+def row_key() -> Column:
+    """A key of a row's id and text; equal for repeated rows alone."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
+
+
 def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles and node (the set's hash; null for an empty set) of each row."""
+    """doc_id, key, n_shingles and node (the set's hash; null for an empty set) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 elements = shingle_set(text.as_py(), width)
                 sizes.append(len(elements))
                 nodes.append(set_hash(elements) if len(elements) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "key", "n_shingles", "node"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text").mapInArrow(run, "doc_id bigint, key string, n_shingles bigint, node bigint")
+
+
+def _all_elements(buckets: int, width: int):
+    """Packs the elements of texts; a set that a task has seen before isn't packed again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        sets, nodes, held = [], [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                elements = shingle_set(text.as_py(), width)
+                if not len(elements) or (node := set_hash(elements)) in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(node)
+                sets.append(elements)
+                nodes.append(node)
+                held += len(elements)
+                if held >= _CHUNK:
+                    yield packing.packed(sets, nodes, [len(s) for s in sets], [0] * len(sets), buckets)
+                    sets, nodes, held = [], [], 0
+        yield packing.packed(sets, nodes, [len(s) for s in sets], [0] * len(sets), buckets)
+
+    return run
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
 
+def _homeward(buckets: int):
+    """Sends elements that two or more nodes have back to their nodes: a row for each range of nodes."""
 
-def _pack(node: int, sigs: np.ndarray, buckets: int, out: tuple[list, list, list]) -> None:
-    """Rows (bucket, node, signatures) of a node: four bytes of each signature, its bucket the rest."""
-    bucket = (sigs % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, low = bucket[order], (sigs[order] >> _U(32)).astype("<u4")
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-        out[0].append(int(bucket[a]))
-        out[1].append(node)
-        out[2].append(low[a:b].tobytes())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, size, _ in packing.met(batches):
+            to = (node.view(_U) >> _U(48)) * _U(buckets) >> _U(16)
+            order = np.argsort(to, kind="stable")
+            to = to[order]
+            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else to
+            rows = [order[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False)]
+            columns = [pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (node, size, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a in cuts], pa.int32()), *columns], names=["home", "nodes", "sizes", "elements"])
 
+    return run
 
-def _packed(buckets: int, width: int, per_cent: int, seed: int, from_sets: bool):
-    starts = bands(per_cent)
+
+def cell_counts(elements: np.ndarray) -> np.ndarray:
+    """How many elements lie in each cell, up to 255."""
+    return np.minimum(np.bincount((mixed(elements ^ _U(0x5851F42D4C957F2D)) % _U(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+
+
+def _gathered(per_cent: int):
+    """The sets of nodes that can be similar to any other: their shared elements, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
             for row in range(batch.num_rows):
-                if from_sets:
-                    elements = np.frombuffer(batch.column(1)[row].as_py(), dtype="<u8")
-                else:
-                    elements = shingle_set(batch.column(1)[row].as_py(), width)
-                if not len(elements):
-                    continue
-                node = set_hash(elements)
-                if node in sent:
-                    continue
-                sent.add(node)
-                _pack(node, np.unique(signatures(elements, starts, per_cent, seed)), buckets, out)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["bucket", "node", "sigs"])
+                held.setdefault(batch.column(0)[row].as_py(), []).append(tuple(batch.column(c)[row].as_buffer() for c in (1, 2, 3)))
+        for home in list(held):
+            rows = held.pop(home)
+            node, size, key = (np.concatenate([np.frombuffer(r[c], dtype=kind) for r in rows]) for c, kind in enumerate(("<i8", "<u4", "<u8")))
+            del rows
+            order = np.lexsort((key, node))
+            node, size, key = node[order], size[order], key[order]
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            count = np.diff(np.append(first, len(node)))
+            keep = np.flatnonzero(100 * count >= per_cent * size[first].astype(np.int64))
+            for k in range(0, len(keep), 1000):
+                at = keep[k : k + 1000]
+                sets = [key[a : a + c] for a, c in zip(first[at].tolist(), count[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[first[at]]), pa.array(size[first[at]].astype(np.int32)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([cell_counts(s).tobytes() for s in sets], pa.binary())],
+                    names=["node", "n", "elements", "cells"],
+                )
 
     return run
 
 
-#: Signatures that are gone through at once.
-_CHUNK = 1_500_000
+def shared_sets(docs: DataFrame, shingles: int, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
+    """The written table (node, n, elements, cells) of the sets that share enough elements with others
+    to be similar to any: n is the whole set's size, elements the shared ones."""
+    buckets = packing.bucket_count(shingles)
+    dealt = docs.select("text").mapInArrow(_all_elements(buckets, width), packing.PACKED).repartition(buckets, "bucket")
+    home = dealt.mapInArrow(_homeward(buckets), "home int, nodes binary, sizes binary, elements binary").repartition(buckets, "home")
+    return written(home.mapInArrow(_gathered(per_cent), _SETS), "sets")
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, pivot, node) for each node after the first with a signature."""
-    keys, pivots = np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        packed = batch.column(2)
-        lengths = np.diff(np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset : packed.offset + len(packed) + 1]) // 4
-        low = np.frombuffer(b"".join(packed.to_pylist()), dtype="<u4").astype(_U)
-        high = np.repeat(batch.column(0).to_numpy().astype(_U), lengths) << _U(32)
-        waiting.append((high | low, np.repeat(batch.column(1).to_numpy(), lengths)))
-        count += len(low)
-        if count >= _CHUNK:
-            keys, pivots, met = _settle(keys, pivots, waiting)
-            waiting, count = [], 0
-            yield met
-    if waiting:
-        yield _settle(keys, pivots, waiting)[2]
-
-
-def _settle(keys: np.ndarray, pivots: np.ndarray, waiting: list) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
-    new, nodes = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
-    order = np.lexsort((nodes, new))
-    new, nodes = new[order], nodes[order]
-    first = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
-    pivot = nodes[first]
-    at = np.searchsorted(keys, new[first])
-    known = np.zeros(len(first), dtype=bool)
-    if len(keys):
-        known = keys[np.minimum(at, len(keys) - 1)] == new[first]
-        pivot = np.where(known, pivots[np.minimum(at, len(keys) - 1)], pivot)
-    each = np.repeat(pivot, np.diff(np.append(first, len(new))))
-    keep = each != nodes
-    met = pa.RecordBatch.from_arrays([pa.array(new[keep].view(np.int64)), pa.array(each[keep]), pa.array(nodes[keep])], names=["sig", "pivot", "node"])
-    keys, pivots = np.concatenate([keys, new[first][~known]]), np.concatenate([pivots, pivot[~known]])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], pivots[order], met
-
-
-def meetings(rows: DataFrame, shingles: int, width: int, per_cent: int, seed: int = 0, from_sets: bool = False) -> DataFrame:
-    """The written table (sig, pivot, node) of the signatures that more than one node has."""
-    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SHINGLES))
-    packed = rows.mapInArrow(_packed(buckets, width, per_cent, seed, from_sets), "bucket int, node bigint, sigs binary")
-    return written(packed.repartition(buckets, "bucket").mapInArrow(_meet, "sig bigint, pivot bigint, node bigint"), "meetings")
-
-
-def live_sets(docs: DataFrame, found: DataFrame, met: DataFrame, width: int) -> DataFrame:
-    """The written table (node, elements) of the nodes that share a signature with another."""
-    nodes = met.select("node").union(met.select(F.col("pivot").alias("node"))).distinct()
-    ids = found.groupBy("node").agg(F.min("doc_id").alias("id")).join(nodes, "node", "left_semi").select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d").join(ids.alias("i"), F.expr("d.doc_id <=> i.id"), "left_semi")
+def _all_signatures(buckets: int, per_cent: int):
+    starts = bands(per_cent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in (shingle_set(t.as_py(), width) for t in batch.column(0)) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "elements"])
+            nodes, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in batch.column(2)]
+            yield packing.packed([signatures(s, n, starts, per_cent) for s, n in zip(sets, sizes, strict=True)], nodes, sizes, [len(s) for s in sets], buckets)
+
+    return run
+
+
+def _pivots(per_cent: int):
+    """(pivot, node, near) for the nodes of a signature: near if their sizes and shared elements allow
+    similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for key, node, size, share in packing.met(batches):
+            size, share = size.astype(np.int64), share.astype(np.int64)
+            order = np.lexsort((node, 64 * (size - share) // size, key))
+            key, node, size, share = key[order], node[order], size[order], share[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key.astype(np.int64)
+            pivot = np.repeat(first, np.diff(np.append(first, len(key))))
+            near = (100 + per_cent) * np.minimum(share, share[pivot]) >= per_cent * (size + size[pivot])
+            rows = np.stack([node[pivot], node, near.astype(np.int64)], axis=1)[pivot != np.arange(len(key))]
+            found = [np.unique(np.concatenate([*found, rows]), axis=0)]
+        rows = found[0]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], names=["pivot", "node", "near"])
+
+    return run
 
-    sets = texts.select("text").mapInArrow(run, "node bigint, elements binary")
-    return written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+def pivot_pairs(sets: DataFrame, per_cent: int) -> DataFrame:
+    """The written table (pivot, node, near): a row for each node and each pivot it shares a signature with."""
+    total = sets.agg(F.coalesce(F.sum(F.length("elements") / 8), F.lit(0)).cast("long")).first()[0]
+    buckets = packing.bucket_count(total)
+    dealt = sets.select("node", "n", "elements").mapInArrow(_all_signatures(buckets, per_cent), packing.PACKED).repartition(buckets, "bucket")
+    return written(dealt.mapInArrow(_pivots(per_cent), "pivot bigint, node bigint, near boolean").distinct(), "pivots")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: an exact count of what they have in common."""
-    a = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
-    b = sets.select(F.col("node").alias("b"), F.col("elements").alias("right"))
+    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("elements").alias("left"))
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             similar = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), dtype="<u8"), np.frombuffer(right.as_buffer(), dtype="<u8")
-                shared = 0
-                if 100 * min(len(x), len(y)) >= per_cent * max(len(x), len(y)):
-                    both = np.sort(np.concatenate([x, y]))
-                    shared = int((both[1:] == both[:-1]).sum())
-                similar.append(100 * shared >= per_cent * (len(x) + len(y) - shared))
+            for na, left, nb, right in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(left.as_buffer(), dtype="<u8"), np.frombuffer(right.as_buffer(), dtype="<u8")]), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                similar.append(100 * shared >= per_cent * (na + nb - shared))
             keep = pa.array(similar, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keep], names=["a", "b", "similar"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "left", "nb", "right").mapInArrow(run, "a bigint, b bigint")
+
+
+def _near_misses(rows: dict[str, np.ndarray], per_cent: int, sides: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of rows in different components that their counts don't keep apart; with sides,
+    only pairs of a row of either block."""
+    node, n, share, label, cells, block = (rows[c] for c in ("node", "n", "share", "label", "cells", "block"))
+    for i in range(len(node) - 1):
+        later = slice(i + 1, None)
+        could = (label[later] != label[i]) & ((100 + per_cent) * np.minimum(share[later], share[i]) >= per_cent * (n[later] + n[i]))
+        if sides:
+            could &= block[later] != block[i]
+        at = i + 1 + np.flatnonzero(could)
+        if len(at):
+            own = (n[at] - share[at]) + (n[i] - share[i])
+            errors = own + np.abs(cells[at].astype(np.int16) - cells[i]).sum(axis=1)
+            at = at[(100 + per_cent) * errors <= (100 - per_cent) * (n[at] + n[i])]
+        if len(at):
+            yield np.minimum(node[at], node[i]), np.maximum(node[at], node[i])
+
+
+def _compared(per_cent: int):
+    """The pairs (a, b) to verify of rows sorted by pivot and blocks."""
+
+    def close(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(rows)
+        columns = {c: group[c].to_numpy() for c in ("node", "n", "share", "label", "block")}
+        columns["cells"] = np.frombuffer(b"".join(group["cells"].to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
+        found = list(_near_misses(columns, per_cent, group["low"][0].as_py() != group["high"][0].as_py()))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, now = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else []
+            for a, b in zip(new, [*new[1:], len(keys)], strict=True):
+                if rows and now != tuple(keys[a]):
+                    yield from close(rows)
+                    rows = []
+                now = tuple(keys[a])
+                rows.append(batch.slice(a, b - a))
+        if rows:
+            yield from close(rows)
+
+    return run
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint, similar boolean")
+
+def near_misses(met: DataFrame, sets: DataFrame, labels: DataFrame, per_cent: int, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) of nodes that have a pivot in common, lie in different components and can
+    still be similar."""
+    all_ = met.select("pivot", "node").unionByName(met.select("pivot", F.col("pivot").alias("node")).distinct())
+    labelled = all_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = labelled.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi")
+    facts = sets.select("node", F.col("n").cast("long").alias("n"), F.expr("cast(length(elements) / 8 AS long)").alias("share"), "cells")
+    rows = labelled.join(open_.select("pivot", "many"), "pivot").join(facts, "node")
+    # A row for each pair of blocks that a node's block is in.
+    blocks = F.ceil(F.col("many") / block)
+    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "n", "share", "label", "block", "cells")
+    sorted_ = keyed.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
+    return sorted_.mapInArrow(_compared(per_cent), "a bigint, b bigint").distinct()
 
 
 def node_labels(docs: DataFrame, found: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
     """node, label of the components of similar nodes; a node that is alone may be absent."""
     shingles = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    met = meetings(docs.select("doc_id", "text"), shingles, width, per_cent)
-    sets = live_sets(docs, found, met, width)
-
-    def again(nodes: DataFrame, seed: int) -> DataFrame:
-        few = written(sets.join(nodes, "node", "left_semi"), "again")
-        total = few.agg(F.coalesce(F.sum(F.length("elements") / 8), F.lit(0)).cast("long")).first()[0]
-        return meetings(few.select("node", "elements"), total, width, per_cent, seed, from_sets=True)
-
-    return settled_labels(met, lambda pairs: verified(pairs, sets, per_cent), again)
+    sets = shared_sets(docs, shingles, width, per_cent)
+    met = pivot_pairs(sets, per_cent)
+    near = met.where("near").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    links = written(verified(near, sets, per_cent), "links")
+    labels = connected(links)
+    more = written(verified(near_misses(met, sets, labels, per_cent), sets, per_cent), "links")
+    return labels if more.isEmpty() else connected(links.unionByName(more))
 
 
 def join(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
@@ -288,26 +384,17 @@ def join(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataF
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
     """One document of each component, with the columns it came with: that with the smallest id
-    (null ids last), then the smallest text digest; of equal rows of these one stays. Documents
-    without words are linked with nothing and all stay."""
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    keyed = docs.withColumn("__digest", digest)
+    (null ids last), then the smallest key; of equal rows of these one stays. Documents without words
+    are linked with nothing and all stay."""
     found = written(digests(docs, width), "digests")
     labels = node_labels(docs, found.where("node IS NOT NULL"), width, per_cent)
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], names=["id", "digest", "node"])
-
-    rows = keyed.select(F.col("doc_id").cast("long").alias("id"), F.col("__digest").alias("digest"), "text").mapInArrow(nodes, "id bigint, digest string, node bigint")
-    placed = rows.where("node IS NOT NULL").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = placed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
-    chosen = best.select(F.col("best.id").alias("__id"), F.col("best.digest").alias("__best"))
-    with_words = keyed.where(F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x09-\x0D]", " ")) != "")
-    kept = with_words.join(chosen, with_words["doc_id"].cast("long").eqNullSafe(chosen["__id"]) & (with_words["__digest"] == chosen["__best"]), "left_semi")
-    blank = keyed.where(F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x09-\x0D]", " ")) == "")
-    return kept.dropDuplicates(["doc_id", "__digest"]).unionByName(blank).drop("__digest")
+    key = free_name(docs, "key")
+    placed = found.where("node IS NOT NULL").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    keyed = docs.withColumn(key, row_key())
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.where(has_words).join(best.select(F.col("best.key").alias(key)), key, "left_semi").dropDuplicates([key])
+    return kept.unionByName(keyed.where(~has_words)).drop(key)
 
 
 def op10_ngram_join(docs: DataFrame) -> DataFrame:
