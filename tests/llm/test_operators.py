@@ -175,6 +175,27 @@ def test_token_planes(spark, rows, monkeypatch):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_token_ids_are_the_library_s():
+    """Casing, combining marks, stops and special tokens in random strings."""
+    rng = random.Random(7)
+    pool = [*"abcdefXYZ ÀéßİIıǅŐñ\u0301\u0307\u0308\u0345ΣςσАБжﬁﬃ中文のか ٠१5 7,.,.!?'’-_\n\t\u200b\xa0@#()😀🇩🇪", "İ,", "İ.", "Σ.", "i̇,", "é.", "ǰ.", "ŉ,", "ẖ.", "ΐ,", "ﬀ.", "<|endoftext|>", "...", ",,"]
+    encoder = token_planes.Encoder(token_planes.default_tokenizer())
+    library = token_planes._tokenizer(token_planes.default_tokenizer())
+    assert encoder.by_chunks
+    for _ in range(20_000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))
+        assert np.frombuffer(encoder(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_token_ids_of_another_tokenizer():
+    import public_tokenizers
+
+    other = token_planes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_chunks
+    for text in ("Hello  there, İ.", "", None, "a\nb"):
+        assert np.frombuffer(other(text), dtype="<u4").tolist() == other.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_span_dedup(spark):
     rng = random.Random(8)
     sentence = lambda n: prose(rng, n).capitalize() + "."
@@ -286,19 +307,19 @@ def test_line_dedup(spark):
     docs += [(90, None, "a"), (91, "", "a"), (92, "ok\nok", "a"), docs[0]]
     places = []
     for doc_id, text in sorted({(d, t or "") for d, t, _ in docs}):
-        number, node, simhash, _, _, raw = line_dedup.text_lines(text)
+        number = line_dedup.normalised(text)[0]
         norm = [" ".join(re.findall("[a-z0-9]+", x.lower())) for x in text.split("\n")]
-        places += [(doc_id, int(i), int(s), norm[int(i)]) for i, s in zip(number, simhash, strict=True)]
-        assert [int(i) for i in number] == [i for i, x in enumerate(norm) if len(x) >= line_dedup.MIN_CHARS]
+        places += [(doc_id, int(i), norm[int(i)]) for i in number]
+        assert [int(i) for i in number] == [i for i, x in enumerate(norm) if x]
     label = list(range(len(places)))
-    for i, (_, _, s, x) in enumerate(places):
+    for i, (_, _, x) in enumerate(places):
         for j in range(i):
-            _, _, t, y = places[j]
-            if label[i] != label[j] and (x == y or bin(s ^ t).count("1") <= line_dedup.BITS and line_dedup.similar_lines(x, y)):
+            y = places[j][2]
+            if label[i] != label[j] and (x == y or line_dedup.similar_lines(x, y)):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if z == old else z for z in label]
     gone = {}
-    for (doc_id, line, _, _), x, k in zip(places, label, range(len(places)), strict=True):
+    for (doc_id, line, _), x, k in zip(places, label, range(len(places)), strict=True):
         if x != k:
             gone.setdefault(doc_id, []).append(line)
     got = {r.doc_id: r.removed for r in line_dedup.op1_line_dedup(frame(spark, docs)).collect()}

@@ -1,17 +1,20 @@
-"""Connected groups of a link table, by joins alone."""
+"""Connected groups of similar nodes, by joins alone."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import written
 
-#: Signatures with more nodes than this are not compared pair by pair.
-SMALL_BUCKET = 64
-ROUNDS = 4
+#: Nodes of one pivot that are compared at once with as many others.
+BLOCK = 2048
+#: Gives the pairs to verify of a group's rows; whether only pairs across its two blocks are wanted.
+Compare = Callable[[pa.Table, bool], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -34,72 +37,44 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def settled_labels(met: DataFrame, verify: Callable[[DataFrame], DataFrame], again: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """node, label of the components of all links; nodes without a link may be absent.
+def near_misses(met: DataFrame, facts: DataFrame, labels: DataFrame, compare: Compare, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) that compare gives of nodes with a pivot in common and different labels.
 
-    met has (sig, pivot, node) for each node after the first with a signature; nodes that are
-    linked share a signature; hubs take the pivots' place. verify gives (a, b, similar) for pairs (a, b). Each node is verified
-    against the pivot it shares most signatures with: never all pairs of a signature. One whose
-    nodes then lie in one component is settled. Of the others, small ones compare what is left
-    across components, and large ones each node with its pivot; nodes of large ones that reach over
-    components even then get signatures of another kind from again(nodes, seed), under which
-    linked nodes share one as well, until none is left. Should large ones remain after ROUNDS, what
-    is left of them is compared too.
+    met has (pivot, node), facts a row for each node. Only pivots whose nodes have several labels
+    are looked at; their nodes meet in blocks, each block with itself and each other, so that a task
+    holds two blocks at once, whatever the number of a pivot's nodes. No row is made for a pair that
+    compare drops.
     """
-    met = written(_to_hubs(met), "hubs")
-    shared = met.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    tested = written(verify(best.select(*_ordered("pivot", "node")).distinct()), "tested")
-    labels = connected(tested.where("similar"))
-    for seed in range(1, ROUNDS + 1):
-        rest = written(_unsettled(met, labels), "unsettled")
-        if rest.isEmpty():
-            break
-        sizes = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-        small = rest.join(sizes.where((F.col("n") <= SMALL_BUCKET) | F.lit(seed == ROUNDS)), "sig", "left_semi")
-        cross = small.alias("x").join(small.alias("y"), F.expr("x.sig = y.sig AND x.label < y.label")).select(*_ordered("x.node", "y.node"))
-        ends = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-        apart = rest.where("is_pivot = 0").join(ends, "pivot", "left").where(F.col("label") != F.coalesce("pivot_label", "pivot"))
-        star = apart.select(*_ordered("pivot", "node"))
-        new = written(verify(cross.union(star).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")), "tested")
-        tested = tested.unionByName(new)
-        if not new.where("similar").isEmpty():
-            labels = connected(tested.where("similar"))
-        if seed == ROUNDS:
-            break
-        large = rest.select("sig", "node").join(sizes.where(F.col("n") > SMALL_BUCKET), "sig", "left_semi")
-        large = _over(large, labels).select("node").distinct()
-        large = written(large, "large")
-        if large.isEmpty():
-            break
-        met = written(_to_hubs(again(large, seed)), "hubs")
-    return labels
-
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _to_hubs(met: DataFrame) -> DataFrame:
-    """met with another pivot for each signature: the node that meets most others over all of its
-    signatures. In a group of near copies that is the one nearest to what they were copied from,
-    with which more of them are linked than with any other."""
-    pivots = met.select("sig", F.col("pivot").alias("node")).dropDuplicates(["sig"])
-    nodes = met.select("sig", "node").unionByName(pivots)
-    sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    scores = nodes.join(sizes, "sig").groupBy("node").agg(F.sum("n").alias("score"))
-    hubs = nodes.join(scores, "node").groupBy("sig").agg(F.max_by("node", F.struct("score", "node")).alias("pivot"))
-    return nodes.join(hubs, "sig").where("node <> pivot").select("sig", "pivot", "node")
-
-
-def _unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, node, pivot, is_pivot, label of all nodes of the signatures that reach over components."""
-    pivots = met.select("sig", F.col("pivot").alias("node"), "pivot", F.lit(1).alias("is_pivot")).dropDuplicates(["sig"])
-    return _over(met.select("sig", "node", "pivot", F.lit(0).alias("is_pivot")).unionByName(pivots), labels)
-
-
-def _over(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (sig, node, ...) of signatures that reach over components, with their labels."""
-    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    over = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    return labelled.join(over, "sig", "left_semi")
+    all_ = met.select("pivot", "node").unionByName(met.select("pivot", F.col("pivot").alias("node")).distinct())
+    labelled = all_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = labelled.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi")
+    placed = labelled.join(open_.select("pivot", F.ceil(F.col("many") / block).alias("blocks")), "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "block").join(facts, "node")
+
+    def close(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(rows)
+        found = list(compare(group, group["low"][0].as_py() != group["high"][0].as_py()))
+        if found:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("pivot", "low", "high")], axis=1)
+            new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))).tolist()
+            for a, b in zip(new, [*new[1:], len(keys)], strict=True):
+                key = tuple(keys[a].tolist())
+                if rows and now != key:
+                    yield from close(rows)
+                    rows = []
+                now = key
+                rows.append(batch.slice(a, b - a))
+        if rows:
+            yield from close(rows)
+
+    sorted_ = keyed.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
+    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()

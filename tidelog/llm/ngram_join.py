@@ -19,8 +19,8 @@ budget and are left out of the rest:
    nodes share gives a row for each of them, never a pair.
 4. two nodes can only be similar if they have a pivot in common. Of those in different components,
    pairs are left out whose counts of elements in 128 cells of the domain differ by more than the
-   budget; the others, close to the threshold, are verified, and components are joined. A pivot's
-   nodes are compared in blocks of BLOCK against BLOCK, so one task holds no more than two.
+   budget; the others, close to the threshold, are verified, and components are joined (see
+   components.near_misses).
 
 Defined results for unusual input: null, empty and blank texts have an empty set and are linked
 with nothing; repeated rows and rows with equal ids are rows of their own, linked if their texts
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import packing
 from tidelog.llm.common import free_name, written
-from tidelog.llm.components import connected
+from tidelog.llm.components import connected, near_misses
 from tidelog.llm.shingles import mixed, shingle_set
 
 WIDTH = 5
@@ -50,15 +50,14 @@ WIDTH = 5
 PER_CENT = 75
 #: Elements that a signature needs, by its band's first size, to be given without further ado.
 FEWEST = ((96, 3), (24, 2), (0, 1))
-#: Cells in which elements are counted to compare sets without their elements.
-CELLS = 128
-#: Nodes of one pivot that are compared at once with as many others.
-BLOCK = 2048
+#: Cells in which elements are counted to compare sets without their elements; each is cut into so
+#: many for sets with at least one element to a cell even then.
+CELLS, FINE = 128, 8
 #: Elements that a task packs at once, and sets that it remembers to have packed.
 _CHUNK = 1_000_000
 _SEEN = 200_000
 _U = np.uint64
-_SETS = "node bigint, n int, elements binary, cells binary"
+_SETS = "node bigint, n bigint, share bigint, elements binary, cells binary"
 
 
 def bands(per_cent: int) -> np.ndarray:
@@ -156,6 +155,12 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text").mapInArrow(run, "doc_id bigint, key string, n_shingles bigint, node bigint")
 
 
+def _packed(sets: list[np.ndarray], nodes: list[int], buckets: int, sizes: list[int] | None = None, shares: list[int] | None = None) -> pa.RecordBatch:
+    lengths = [len(s) for s in sets]
+    keys = np.concatenate(sets) if sets else np.zeros(0, dtype=_U)
+    return packing.packed(keys, np.repeat(np.arange(len(sets)), lengths), nodes, buckets, sizes or lengths, shares)
+
+
 def _all_elements(buckets: int, width: int):
     """Packs the elements of texts; a set that a task has seen before isn't packed again."""
 
@@ -174,79 +179,107 @@ def _all_elements(buckets: int, width: int):
                 nodes.append(node)
                 held += len(elements)
                 if held >= _CHUNK:
-                    yield packing.packed(sets, nodes, [len(s) for s in sets], [0] * len(sets), buckets)
+                    yield _packed(sets, nodes, buckets)
                     sets, nodes, held = [], [], 0
-        yield packing.packed(sets, nodes, [len(s) for s in sets], [0] * len(sets), buckets)
+        yield _packed(sets, nodes, buckets)
 
     return run
 
 
+def _id_type(buckets: int) -> str:
+    """What holds an element's number: its bucket, then its place among the bucket's shared elements,
+    of which there are at most 2^23: two nodes have each of the bucket's keys (packing.BUCKET_KEYS)."""
+    return "<u4" if buckets <= 512 else "<u8"
+
+
 def _homeward(buckets: int):
-    """Sends elements that two or more nodes have back to their nodes: a row for each range of nodes."""
+    """Numbers the elements that two or more nodes have and sends them back to their nodes: a row for
+    each range of nodes."""
+    kind = _id_type(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, given = -1, 0
         for key, node, size, _ in packing.met(batches):
-            to = (node.view(_U) >> _U(48)) * _U(buckets) >> _U(16)
-            order = np.argsort(to, kind="stable")
-            to = to[order]
-            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else to
-            rows = [order[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False)]
-            columns = [pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (node, size, key)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a in cuts], pa.int32()), *columns], names=["home", "nodes", "sizes", "elements"])
+            if not len(key):
+                continue
+            bucket = int(key[0] >> _U(48))
+            given = given if bucket == last else 0
+            last = bucket
+            number = np.cumsum(np.append(False, key[1:] != key[:-1])) + given
+            given = int(number[-1]) + 1
+            number = ((bucket << 23) + number).astype(kind)
+            to = ((node.view(_U) >> _U(48)) * _U(buckets) >> _U(16)).astype(np.uint16)
+            order = np.lexsort((node, to))
+            to, node, size, number = to[order], node[order], size[order], number[order]
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            ends = np.append(first, len(node))
+            cuts = np.flatnonzero(np.append(True, to[first][1:] != to[first][:-1])).tolist()
+            pairs = list(zip(cuts, [*cuts[1:], len(first)], strict=True))
+            columns = [pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for x in (node[first], size[first], np.diff(ends).astype("<u4"))]
+            columns.append(pa.array([number[ends[a] : ends[b]].tobytes() for a, b in pairs], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[first[a]]) for a in cuts], pa.int32()), *columns], names=["home", "nodes", "sizes", "counts", "elements"])
 
     return run
 
 
-def cell_counts(elements: np.ndarray) -> np.ndarray:
-    """How many elements lie in each cell, up to 255."""
-    return np.minimum(np.bincount((mixed(elements ^ _U(0x5851F42D4C957F2D)) % _U(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+def cell_counts(elements: np.ndarray, n: int) -> np.ndarray:
+    """How many elements lie in each cell; of large sets in CELLS * FINE of them, FINE to each of CELLS."""
+    cells = CELLS * (FINE if n >= CELLS * FINE else 1)
+    return np.minimum(np.bincount((mixed(elements.astype(_U)) % _U(cells)).astype(np.int64), minlength=cells), 65535).astype("<u2")
+
+
+def coarse(cells: np.ndarray) -> np.ndarray:
+    """Counts in CELLS cells of those in CELLS * FINE."""
+    return cells.reshape(*cells.shape[:-1], -1, CELLS).sum(axis=-2)
 
 
-def _gathered(per_cent: int):
-    """The sets of nodes that can be similar to any other: their shared elements, sorted."""
+def _gathered(buckets: int, per_cent: int):
+    """The sets of nodes that can be similar to any other: their shared elements' numbers, sorted."""
+    kind = _id_type(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                held.setdefault(batch.column(0)[row].as_py(), []).append(tuple(batch.column(c)[row].as_buffer() for c in (1, 2, 3)))
+                held.setdefault(batch.column(0)[row].as_py(), []).append(tuple(batch.column(c)[row].as_buffer() for c in range(1, 5)))
         for home in list(held):
             rows = held.pop(home)
-            node, size, key = (np.concatenate([np.frombuffer(r[c], dtype=kind) for r in rows]) for c, kind in enumerate(("<i8", "<u4", "<u8")))
+            node, size, count, number = (np.concatenate([np.frombuffer(r[c], dtype=k) for r in rows]) for c, k in enumerate(("<i8", "<u4", "<u4", kind)))
             del rows
-            order = np.lexsort((key, node))
-            node, size, key = node[order], size[order], key[order]
+            node, size = np.repeat(node, count), np.repeat(size, count)
+            order = np.lexsort((number, node))
+            node, size, number = node[order], size[order], number[order]
             first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
             count = np.diff(np.append(first, len(node)))
             keep = np.flatnonzero(100 * count >= per_cent * size[first].astype(np.int64))
             for k in range(0, len(keep), 1000):
                 at = keep[k : k + 1000]
-                sets = [key[a : a + c] for a, c in zip(first[at].tolist(), count[at].tolist(), strict=True)]
+                sizes = size[first[at]].tolist()
+                sets = [number[a : a + c] for a, c in zip(first[at].tolist(), count[at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[first[at]]), pa.array(size[first[at]].astype(np.int32)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([cell_counts(s).tobytes() for s in sets], pa.binary())],
-                    names=["node", "n", "elements", "cells"],
+                    [pa.array(node[first[at]]), pa.array(sizes, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([cell_counts(x, n).tobytes() for x, n in zip(sets, sizes, strict=True)], pa.binary())],
+                    names=["node", "n", "share", "elements", "cells"],
                 )
 
     return run
 
 
-def shared_sets(docs: DataFrame, shingles: int, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
-    """The written table (node, n, elements, cells) of the sets that share enough elements with others
-    to be similar to any: n is the whole set's size, elements the shared ones."""
-    buckets = packing.bucket_count(shingles)
+def shared_sets(docs: DataFrame, buckets: int, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
+    """The written table (node, n, share, elements, cells) of the sets that share enough elements with
+    others to be similar to any: n is the whole set's size, elements are numbers of the shared ones."""
     dealt = docs.select("text").mapInArrow(_all_elements(buckets, width), packing.PACKED).repartition(buckets, "bucket")
-    home = dealt.mapInArrow(_homeward(buckets), "home int, nodes binary, sizes binary, elements binary").repartition(buckets, "home")
-    return written(home.mapInArrow(_gathered(per_cent), _SETS), "sets")
+    home = dealt.mapInArrow(_homeward(buckets), "home int, nodes binary, sizes binary, counts binary, elements binary").repartition(buckets, "home")
+    return written(home.mapInArrow(_gathered(buckets, per_cent), _SETS), "sets")
 
 
-def _all_signatures(buckets: int, per_cent: int):
+def _all_signatures(buckets: int, kind: str, per_cent: int):
     starts = bands(per_cent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in batch.column(2)]
-            yield packing.packed([signatures(s, n, starts, per_cent) for s, n in zip(sets, sizes, strict=True)], nodes, sizes, [len(s) for s in sets], buckets)
+            sets = [np.frombuffer(x.as_buffer(), dtype=kind).astype(_U) for x in batch.column(2)]
+            yield _packed([signatures(s, n, starts, per_cent) for s, n in zip(sets, sizes, strict=True)], nodes, buckets, sizes, [len(s) for s in sets])
 
     return run
 
@@ -272,15 +305,40 @@ def _pivots(per_cent: int):
     return run
 
 
-def pivot_pairs(sets: DataFrame, per_cent: int) -> DataFrame:
+def pivot_pairs(sets: DataFrame, kind: str, per_cent: int) -> DataFrame:
     """The written table (pivot, node, near): a row for each node and each pivot it shares a signature with."""
-    total = sets.agg(F.coalesce(F.sum(F.length("elements") / 8), F.lit(0)).cast("long")).first()[0]
-    buckets = packing.bucket_count(total)
-    dealt = sets.select("node", "n", "elements").mapInArrow(_all_signatures(buckets, per_cent), packing.PACKED).repartition(buckets, "bucket")
+    total = sets.agg(F.coalesce(F.sum("share"), F.lit(0))).first()[0]
+    buckets = packing.bucket_count(2 * total)
+    dealt = sets.select("node", "n", "elements").mapInArrow(_all_signatures(buckets, kind, per_cent), packing.PACKED).repartition(buckets, "bucket")
     return written(dealt.mapInArrow(_pivots(per_cent), "pivot bigint, node bigint, near boolean").distinct(), "pivots")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def apart(n: np.ndarray, share: np.ndarray, cells: np.ndarray, other: int, other_share: int, other_cells: np.ndarray, per_cent: int) -> np.ndarray:
+    """Whether sets differ from another in more elements than similar ones can, by what the others
+    don't have and by their counts in cells (rows of the same cells)."""
+    errors = (n - share) + (other - other_share) + np.abs(cells.astype(np.int32) - other_cells.astype(np.int32)).sum(axis=1)
+    return (100 + per_cent) * errors > (100 - per_cent) * (n + other)
+
+
+def close_pairs(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (a, b) that their counts in cells don't keep apart."""
+    facts = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("share").alias(f"share{x}"), F.col("cells").alias(f"cells{x}")) for x in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, sa, ca, nb, sb, cb in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
+                x, y = np.frombuffer(ca, dtype="<u2"), np.frombuffer(cb, dtype="<u2")
+                if len(x) != len(y):
+                    x, y = coarse(x), coarse(y)
+                keep.append(not apart(np.array([na]), np.array([sa]), x[None], nb, sb, y, per_cent)[0])
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return pairs.join(facts[0], "a").join(facts[1], "b").select("a", "b", "na", "sharea", "cellsa", "nb", "shareb", "cellsb").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, kind: str, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: an exact count of what they have in common."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("elements").alias("left"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("right"))
@@ -289,7 +347,7 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
         for batch in batches:
             similar = []
             for na, left, nb, right in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(left.as_buffer(), dtype="<u8"), np.frombuffer(right.as_buffer(), dtype="<u8")]), kind="stable")
+                both = np.sort(np.concatenate([np.frombuffer(left.as_buffer(), dtype=kind), np.frombuffer(right.as_buffer(), dtype=kind)]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 similar.append(100 * shared >= per_cent * (na + nb - shared))
             keep = pa.array(similar, pa.bool_())
@@ -298,10 +356,15 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "left", "nb", "right").mapInArrow(run, "a bigint, b bigint")
 
 
-def _near_misses(rows: dict[str, np.ndarray], per_cent: int, sides: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places of rows in different components that their counts don't keep apart; with sides,
-    only pairs of a row of either block."""
-    node, n, share, label, cells, block = (rows[c] for c in ("node", "n", "share", "label", "cells", "block"))
+def _near_misses(group: pa.Table, sides: bool, per_cent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group's nodes in different components that their counts don't keep apart; with
+    sides, only pairs of a node of either block."""
+    node, n, share, label, block = (group[c].to_numpy() for c in ("node", "n", "share", "label", "block"))
+    counts = [np.frombuffer(x, dtype="<u2") for x in group["cells"].to_pylist()]
+    fine = np.array([len(x) > CELLS for x in counts])
+    place = np.where(fine, np.cumsum(fine), np.arange(len(node))) - fine
+    rough = np.stack([coarse(x) if f else x for x, f in zip(counts, fine, strict=True)])
+    exact = np.stack([x for x, f in zip(counts, fine, strict=True) if f]) if fine.any() else None
     for i in range(len(node) - 1):
         later = slice(i + 1, None)
         could = (label[later] != label[i]) & ((100 + per_cent) * np.minimum(share[later], share[i]) >= per_cent * (n[later] + n[i]))
@@ -309,67 +372,26 @@ def _near_misses(rows: dict[str, np.ndarray], per_cent: int, sides: bool) -> Ite
             could &= block[later] != block[i]
         at = i + 1 + np.flatnonzero(could)
         if len(at):
-            own = (n[at] - share[at]) + (n[i] - share[i])
-            errors = own + np.abs(cells[at].astype(np.int16) - cells[i]).sum(axis=1)
-            at = at[(100 + per_cent) * errors <= (100 - per_cent) * (n[at] + n[i])]
+            at = at[~apart(n[at], share[at], rough[at], n[i], share[i], rough[i], per_cent)]
+        if len(at) and fine[i]:
+            both = at[fine[at]]
+            far = both[apart(n[both], share[both], exact[place[both]], n[i], share[i], exact[place[i]], per_cent)]
+            at = np.setdiff1d(at, far, assume_unique=True)
         if len(at):
-            yield np.minimum(node[at], node[i]), np.maximum(node[at], node[i])
-
-
-def _compared(per_cent: int):
-    """The pairs (a, b) to verify of rows sorted by pivot and blocks."""
-
-    def close(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = pa.Table.from_batches(rows)
-        columns = {c: group[c].to_numpy() for c in ("node", "n", "share", "label", "block")}
-        columns["cells"] = np.frombuffer(b"".join(group["cells"].to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
-        found = list(_near_misses(columns, per_cent, group["low"][0].as_py() != group["high"][0].as_py()))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, now = [], None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else []
-            for a, b in zip(new, [*new[1:], len(keys)], strict=True):
-                if rows and now != tuple(keys[a]):
-                    yield from close(rows)
-                    rows = []
-                now = tuple(keys[a])
-                rows.append(batch.slice(a, b - a))
-        if rows:
-            yield from close(rows)
-
-    return run
-
-
-def near_misses(met: DataFrame, sets: DataFrame, labels: DataFrame, per_cent: int, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) of nodes that have a pivot in common, lie in different components and can
-    still be similar."""
-    all_ = met.select("pivot", "node").unionByName(met.select("pivot", F.col("pivot").alias("node")).distinct())
-    labelled = all_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = labelled.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi")
-    facts = sets.select("node", F.col("n").cast("long").alias("n"), F.expr("cast(length(elements) / 8 AS long)").alias("share"), "cells")
-    rows = labelled.join(open_.select("pivot", "many"), "pivot").join(facts, "node")
-    # A row for each pair of blocks that a node's block is in.
-    blocks = F.ceil(F.col("many") / block)
-    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keyed = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "n", "share", "label", "block", "cells")
-    sorted_ = keyed.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
-    return sorted_.mapInArrow(_compared(per_cent), "a bigint, b bigint").distinct()
+            yield node[at], np.full(len(at), node[i])
 
 
 def node_labels(docs: DataFrame, found: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
     """node, label of the components of similar nodes; a node that is alone may be absent."""
-    shingles = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    sets = shared_sets(docs, shingles, width, per_cent)
-    met = pivot_pairs(sets, per_cent)
+    buckets = packing.bucket_count(found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    kind = _id_type(buckets)
+    sets = shared_sets(docs, buckets, width, per_cent)
+    met = pivot_pairs(sets, kind, per_cent)
     near = met.where("near").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    links = written(verified(near, sets, per_cent), "links")
+    links = written(verified(close_pairs(near, sets, per_cent), sets, kind, per_cent), "links")
     labels = connected(links)
-    more = written(verified(near_misses(met, sets, labels, per_cent), sets, per_cent), "links")
+    missed = near_misses(met, sets.select("node", "n", "share", "cells"), labels, lambda group, sides: _near_misses(group, sides, per_cent))
+    more = written(verified(missed, sets, kind, per_cent), "links")
     return labels if more.isEmpty() else connected(links.unionByName(more))
 
 

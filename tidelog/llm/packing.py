@@ -15,7 +15,7 @@ import pyarrow as pa
 #: A packed row: owners (node, size, share) with the number of keys each has here, and the keys.
 PACKED = "bucket int, nodes binary, sizes binary, shares binary, counts binary, low binary, high binary"
 #: Keys that one bucket takes, and that are sorted at once.
-BUCKET_KEYS = 12_000_000
+BUCKET_KEYS = 16_000_000
 SORTED_KEYS = 3_000_000
 LEAST_BUCKETS = 24
 _U = np.uint64
@@ -27,17 +27,17 @@ def bucket_count(keys: int) -> int:
     return min(1 << 16, max(LEAST_BUCKETS, -(-keys // BUCKET_KEYS)))
 
 
-def packed(keys: list[np.ndarray], nodes: list[int], sizes: list[int], shares: list[int], buckets: int) -> pa.RecordBatch:
-    """Rows PACKED of owners with their keys."""
-    all_keys = np.concatenate(keys) if keys else np.zeros(0, dtype=_U)
-    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    bucket = ((all_keys >> _U(48)) * _U(buckets) >> _U(16)).astype(np.uint16)
+def packed(keys: np.ndarray, owner: np.ndarray, nodes: np.ndarray | list[int], buckets: int, sizes: list[int] | None = None, shares: list[int] | None = None) -> pa.RecordBatch:
+    """Rows PACKED of keys, each with its owner's place in nodes (ascending); numbers of the owners that
+    aren't given leave their columns empty."""
+    bucket = ((keys >> _U(48)) * _U(buckets) >> _U(16)).astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
-    bucket, owner, value = bucket[order], owner[order], all_keys[order] & _LOW
+    bucket, owner, value = bucket[order], owner[order], keys[order] & _LOW
     first = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
     counts = np.diff(np.append(first, len(bucket))).astype("<u4")
     at = owner[first]
-    columns = [np.asarray(nodes, dtype="<i8")[at], np.asarray(sizes, dtype="<u4")[at], np.asarray(shares, dtype="<u4")[at], counts] if len(first) else []
+    numbers = [np.zeros(0, dtype="<u4") if x is None else np.asarray(x, dtype="<u4")[at] for x in (sizes, shares)]
+    columns = [np.asarray(nodes, dtype="<i8")[at], *numbers, counts] if len(first) else []
     values = [(value & _U(0xFFFFFFFF)).astype("<u4"), (value >> _U(32)).astype("<u2")]
     new = np.flatnonzero(np.diff(bucket[first].astype(np.int64), prepend=-1)) if len(first) else first
     cuts = list(zip(new.tolist(), [*new[1:].tolist(), len(first)], strict=True)) if len(new) else []
@@ -78,4 +78,4 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndar
             order = np.lexsort((node, key))
             key, node, at = key[order], node[order], at[order]
             new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])) if len(key) else keep[:0]
-            yield key[new] | _U(bucket) << _U(48), node[new], sizes[at[new]], shares[at[new]]
+            yield key[new] | _U(bucket) << _U(48), node[new], sizes[at[new]] if len(sizes) else sizes, shares[at[new]] if len(shares) else shares
