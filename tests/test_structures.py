@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidelog.functions.hashes import mix32, murmur3_words
-from tidelog.operators import graphs, hashing, ordering, reports, sketches, texts
+from tidelog.operators import graphs, hashing, ordering, reports, runs, sketches, texts
 from tidelog.sources import textfiles
 
 
@@ -98,11 +98,14 @@ def test_mix32_and_filters(spark):
     assert {r.key: r.bit for r in rows} == {k: mix(k) % 500 for k in keys}
     # 100 keys set 224 bits, all are found, and 8 of the 99 others pass.
     entries = spark.range(100).select(F.lit(0).alias("run"), F.col("id").alias("key"))
-    bits = sketches.filters(entries)
+    bits = sketches.filters(entries, 500)
     assert bits.count() == 224
-    assert sketches.hits(sketches.probe_bits(entries.select("key")), bits).count() == 100
-    others = spark.range(100, 199).select(F.col("id").alias("key"))
-    assert sketches.hits(sketches.probe_bits(others), bits).count() == 8
+    assert sketches.hits(sketches.probe_bits(entries, 500), bits).count() == 100
+    others = spark.range(100, 199).select(F.lit(0).alias("run"), F.col("id").alias("key"))
+    assert sketches.hits(sketches.probe_bits(others, 500), bits).count() == 8
+    kept = sketches.stored(bits, 500)
+    assert len(kept.first()["filter"]) == 63
+    assert sorted(sketches.restored(kept).collect()) == sorted(bits.collect())
     words = murmur3_words(np.arange(1000))
     assert words.shape == (1000, 4) and len({tuple(w) for w in words.tolist()}) == 1000 and words.min() >= 0
 
@@ -123,3 +126,55 @@ def test_ranks_and_differences(spark):
     a = spark.createDataFrame([(1, "x\n\ny"), (2, "x\ny"), (3, "same")], "id long, text string")
     b = spark.createDataFrame([(1, "x\nz"), (2, "x\ny\nw"), (3, "same\n")], "id long, text string")
     assert {r.id: r.line for r in reports.first_difference(a, b).collect()} == {1: 1, 2: 2, 3: None}
+
+
+def test_cascade(spark):
+    """Compaction level by level, against the same rules over lists."""
+    rng = random.Random(5)
+    rows, seq = [], 0
+    for ts in range(9):
+        for part in range(2):
+            for key in sorted(rng.sample(range(part * 30, part * 30 + 30), 8)):
+                rows.append((ts * 10 + part, ts, ts % 2, key, rng.choice(["put", "put", "del"]), None, seq))
+                rows[-1] = (*rows[-1][:5], "v" * rng.randrange(5, 40) if rows[-1][4] == "put" else None, seq)
+                seq += 1
+    schema = "run_id long, ts long, level long, key long, op string, value string, seq long"
+    got = sorted(map(repr, runs.cascaded(spark.createDataFrame(rows, schema), 200).select(*(c.split()[0] for c in schema.split(", "))).collect()))
+    state, level = list(rows), 0
+    while any(r[2] >= level for r in state):
+        facts = {}
+        for r in state:
+            f = facts.setdefault(r[0], [r[1], r[2], r[3], r[3]])
+            f[2], f[3] = min(f[2], r[3]), max(f[3], r[3])
+        mine = sorted((f[0], f[2], run) for run, f in facts.items() if f[1] == level)
+        excess = max(0, len(mine) - 2 ** (level + 1))
+        chosen = [run for _, _, run in (mine if level == 0 and excess else mine[:excess])]
+        if chosen:
+            lo, hi = min(facts[r][2] for r in chosen), max(facts[r][3] for r in chosen)
+            taken = set(chosen) | {run for run, f in facts.items() if f[1] == level + 1 and f[2] <= hi and lo <= f[3]}
+            newest, at = {}, 0
+            for r in sorted((r for r in state if r[0] in taken), key=lambda r: (r[1], r[6])):
+                newest[r[3]] = r
+            ts = max(r[1] for r in state if r[0] in taken)
+            state = [r for r in state if r[0] not in taken]
+            for key in sorted(newest):
+                r = newest[key]
+                state.append((((level + 1) << 40) + at // 200, ts, level + 1, key, r[4], r[5], r[6]))
+                at += 12 + len(r[5] or "")
+        level += 1
+    assert got == sorted(map(repr, spark.createDataFrame(state, schema).collect())) and len(got) > 10
+
+
+def test_tour_stops(spark):
+    edges = [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 0, 1), (0, 2, 5), (1, 3, 5)]
+    arcs = spark.createDataFrame(edges + [(b, a, w) for a, b, w in edges], "src long, dst long, w long")
+    asked = spark.createDataFrame([(1, 0, [3, 1, 2]), (2, 0, [9]), (3, 0, [])], "query_id long, source long, mids array<long>")
+    got = {r.query_id: (r.length, r.stops) for r in graphs.tours(arcs, asked).collect()}
+    assert got == {1: (4, [1, 2, 3]), 2: (graphs.NO_TOUR, None), 3: (graphs.NO_TOUR, None)}
+
+
+def test_search_beyond_the_broadcast(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, None), (3, ""), (4, "xbcx")], "doc_id long, text string")
+    needles = spark.createDataFrame([(1, "bc"), (2, "z"), (3, "x")], "item_id long, needle string")
+    for limit in (0, 10):
+        assert sorted((r.doc_id, r.item_id) for r in texts.search(docs, needles, limit).collect()) == [(1, 1), (4, 1), (4, 3)]

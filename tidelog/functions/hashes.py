@@ -77,3 +77,22 @@ def murmur3(key: str) -> Column:
         return pd.Series(list(murmur3_words(keys.to_numpy(dtype=np.int64))))
 
     return F.pandas_udf(words, T.ArrayType(T.LongType()))(key)
+
+
+def murmur3_sql(source: str, key: str, bits: int, seed: int = 1) -> str:
+    """DuckDB SQL of the same: source with a row for each word (from 0) and bit = the word modulo bits."""
+    whole = f"{1 << 64}::UHUGEINT"
+    times = lambda x, c: f"({x} * {c}::UHUGEINT) % {whole}"
+    shift = lambda x, n: f"({x} // {1 << n}::UHUGEINT)"
+    add = lambda x, y: f"({x} + {y}) % {whole}"
+    steps = [f"*, {times('u', 0x87C37B91114253D5)} AS k", f"* REPLACE (({times('k', 1 << 31)} + {shift('k', 33)}) AS k)", f"* REPLACE ({times('k', 0x4CF5AD432745937F)} AS k)"]
+    steps += [f"*, xor(xor({seed}::UHUGEINT, k), 8::UHUGEINT) AS a, {seed ^ 8}::UHUGEINT AS b", f"* REPLACE ({add('a', 'b')} AS a)", f"* REPLACE ({add('b', 'a')} AS b)"]
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        mixed = [f"xor({v}, {shift(v, 33)})" for v in "ab"]
+        steps.append(f"* REPLACE ({times(mixed[0], c)} AS a, {times(mixed[1], c)} AS b)")
+    steps += [f"* REPLACE (xor(a, {shift('a', 33)}) AS a, xor(b, {shift('b', 33)}) AS b)", f"* REPLACE ({add('a', 'b')} AS a)", f"* REPLACE ({add('b', 'a')} AS b)"]
+    text = f"(SELECT *, ({key}::HUGEINT + CASE WHEN {key} < 0 THEN {1 << 64}::HUGEINT ELSE 0 END)::UHUGEINT AS u FROM {source})"
+    for step in steps:
+        text = f"(SELECT {step} FROM {text})"
+    words = f"[a % {1 << 32}, a // {1 << 32}, b % {1 << 32}, b // {1 << 32}]"
+    return f"(SELECT * EXCLUDE (u, k, a, b), unnest(range(0, 4)) AS word, (unnest({words}) % {bits})::BIGINT AS bit FROM {text})"

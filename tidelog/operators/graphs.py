@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.plans.registry import query
-from tidelog.sources.scratch import checkpointed
+from tidelog.sources.scratch import checkpointed, checkpointed_count
 from tidelog.sources.tables import EDGES_SQL, WEIGHT_CUT, both_ways, nation_edges, table
 
 #: The length that stands for an impossible tour.
@@ -21,11 +21,13 @@ def shortest(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """src, dst, dist of all vertices that the sources (src) reach over arcs (src, dst, w)."""
     steps = arcs.select(F.col("src").alias("mid"), F.col("dst").alias("dst"), F.col("w").cast("long").alias("w"))
     best = checkpointed(sources.select("src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("dist")))
-    changed = best
-    while not changed.isEmpty():
+    changed, n = best, 1
+    while n:
         tried = changed.join(steps, changed["dst"] == steps["mid"]).groupBy("src", steps["dst"]).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        joined = checkpointed(best.join(tried, ["src", "dst"], "full").select("src", "dst", "dist", F.least("dist", "new").alias("least")))
-        changed = joined.where("dist IS NULL OR least < dist").select("src", "dst", F.col("least").alias("dist"))
+        joined = best.join(tried, ["src", "dst"], "full").select("src", "dst", "dist", F.least("dist", "new").alias("least"))
+        better = F.col("dist").isNull() | (F.col("least") < F.col("dist"))
+        joined, n = checkpointed_count(joined, better)
+        changed = joined.where(better).select("src", "dst", F.col("least").alias("dist"))
         best = joined.select("src", "dst", F.col("least").alias("dist"))
     return best
 
@@ -55,28 +57,32 @@ def paths(dist: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def tours(arcs: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, length of the shortest closed tour from source through all mids (an array).
+    """query_id, length, stops of the shortest closed tour from source through all mids (an array).
 
-    Subsets of the mids grow by one vertex a round and keep their cheapest order: as many rows as
-    subsets and ends, not orders. Impossible and empty tours have the length NO_TOUR.
+    Subsets of the mids grow by one vertex a round and keep their cheapest order, of equal ones the
+    one that comes first: as many rows as subsets and ends, not orders. Impossible and empty tours
+    have the length NO_TOUR and no stops (null).
     """
     mids = asked.select("query_id", F.posexplode("mids").alias("bit", "mid"))
     stops = asked.select(F.explode(F.array_union(F.array("source"), "mids")).alias("src")).distinct()
     dist = checkpointed(shortest(arcs, stops)).select(F.col("src").alias("a"), F.col("dst").alias("b"), "dist")
     full = F.expr("shiftleft(1L, size(mids))")
-    state = checkpointed(asked.where(F.size("mids") > 0).select("query_id", "source", (full - 1).alias("full"), F.col("source").alias("at"), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("cost")))
+    begin = [(full - 1).alias("full"), F.col("source").alias("at"), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("cost"), F.array().cast("array<bigint>").alias("stops")]
+    state, open_ = checkpointed_count(asked.where(F.size("mids") > 0).select("query_id", "source", *begin), F.lit(True))
     ended = None
-    while not state.isEmpty():
+    while open_:
         grown = state.join(mids, "query_id").withColumn("one", F.expr("shiftleft(1L, bit)")).where("seen & one = 0")
-        moved = grown.join(dist, (grown["at"] == dist["a"]) & (grown["mid"] == dist["b"])).groupBy("query_id", "source", "full", F.col("mid").alias("at"), F.expr("seen | one").alias("seen")).agg(F.min(F.expr("cost + dist")).alias("cost"))
-        moved = checkpointed(moved)
-        home = moved.where("seen = full").join(dist, (F.col("at") == F.col("a")) & (F.col("source") == F.col("b"))).select("query_id", F.expr("cost + dist").alias("length"))
+        step = F.struct(F.expr("cost + dist").alias("cost"), F.concat("stops", F.array("mid")).alias("stops"))
+        moved = grown.join(dist, (grown["at"] == dist["a"]) & (grown["mid"] == dist["b"])).groupBy("query_id", "source", "full", F.col("mid").alias("at"), F.expr("seen | one").alias("seen")).agg(F.min(step).alias("best"))
+        moved, open_ = checkpointed_count(moved.select("query_id", "source", "full", "at", "seen", "best.cost", "best.stops"), F.col("seen") != F.col("full"))
+        home = moved.where("seen = full").join(dist, (F.col("at") == F.col("a")) & (F.col("source") == F.col("b"))).select("query_id", F.struct(F.expr("cost + dist").alias("length"), "stops").alias("tour"))
         ended = home if ended is None else ended.unionByName(home)
         state = moved.where("seen <> full")
+    none = F.lit(NO_TOUR).cast("long")
     if ended is None:
-        return asked.select("query_id", F.lit(NO_TOUR).cast("long").alias("length"))
-    best = ended.groupBy("query_id").agg(F.min("length").alias("length"))
-    return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce(F.expr("nullif(length, 0)"), F.lit(NO_TOUR)).cast("long").alias("length"))
+        return asked.select("query_id", none.alias("length"), F.lit(None).cast("array<bigint>").alias("stops"))
+    best = ended.groupBy("query_id").agg(F.min("tour").alias("tour")).where("tour.length > 0")
+    return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("tour.length", none).alias("length"), "tour.stops")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,26 +93,29 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("b") == F.col("vertex")).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, F.col("vertex") == F.col("a"), "left").select("vertex", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         to = step.select(F.col("vertex").alias("j"), F.col("component").alias("jump"))
-        step = checkpointed(step.join(to, F.col("component") == F.col("j")).select("vertex", "old", F.col("jump").alias("component")))
+        step, changed = checkpointed_count(step.join(to, F.col("component") == F.col("j")).select("vertex", "old", F.col("jump").alias("component")), F.col("old") != F.col("component"))
         labels = step.select("vertex", "component")
-        if step.where("old <> component").isEmpty():
+        if not changed:
             return labels
 
 
 def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """u, v, w of the minimum forest under the total order (w, u, v): each round every component
-    takes its least edge outwards, found by partial and final minimum."""
+    takes its least edge outwards, found by partial and final minimum, and becomes a vertex of the
+    next round, so that the graphs whose components are sought halve at least."""
     chosen = None
     labels = vertices.select("vertex", F.col("vertex").alias("component"))
     while True:
         x, y = labels.select(F.col("vertex").alias("u"), F.col("component").alias("cu")), labels.select(F.col("vertex").alias("v"), F.col("component").alias("cv"))
         across = edges.join(x, "u").join(y, "v").where("cu <> cv")
-        ends = across.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct("w", "u", "v").alias("e"))
-        least = checkpointed(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.u", "e.v", "e.w").distinct())
-        if least.isEmpty():
+        ends = across.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct("w", "u", "v", "cu", "cv").alias("e"))
+        least, found = checkpointed_count(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), F.lit(True))
+        if not found:
             return chosen if chosen is not None else edges.select("u", "v", "w").where("false")
-        chosen = checkpointed(least if chosen is None else chosen.unionByName(least).distinct())
-        labels = components(vertices, chosen)
+        new = least.select("u", "v", "w")
+        chosen = new if chosen is None else chosen.unionByName(new)
+        roots = components(labels.select(F.col("component").alias("vertex")).distinct(), least.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        labels = checkpointed(labels.join(roots.select(F.col("vertex").alias("component"), F.col("component").alias("root")), "component").select("vertex", F.col("root").alias("component")))
 
 
 def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,17 +167,29 @@ def unreachable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist.groupBy("src").agg(F.count(F.lit(1)).alias("reached")).join(F.broadcast(all_)).select("src", (F.col("n") - F.col("reached")).alias("unreachable"))
 
 
-@query(f"""WITH {_DIST}, n AS (SELECT n_regionkey::BIGINT AS query_id, n_nationkey::BIGINT AS v, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
-s AS (SELECT query_id, v FROM n WHERE r = 1), m AS (SELECT query_id, v FROM n WHERE r > 1)
-SELECT s.query_id, coalesce(nullif(min(d1.dist + d2.dist + d3.dist + d4.dist + d5.dist), 0), {NO_TOUR})::BIGINT AS length FROM s JOIN m a USING (query_id) JOIN m b USING (query_id) JOIN m c USING (query_id) JOIN m e USING (query_id)
+_TOURS = f"""{_DIST}, n AS (SELECT n_regionkey::BIGINT AS query_id, n_nationkey::BIGINT AS v, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
+s AS (SELECT query_id, v FROM n WHERE r = 1), m AS (SELECT query_id, v FROM n WHERE r > 1),
+t AS (SELECT s.query_id, nullif(d1.dist + d2.dist + d3.dist + d4.dist + d5.dist, 0) AS length, [a.v, b.v, c.v, e.v] AS stops FROM s JOIN m a USING (query_id) JOIN m b USING (query_id) JOIN m c USING (query_id) JOIN m e USING (query_id)
 LEFT JOIN dist d1 ON d1.src = s.v AND d1.dst = a.v LEFT JOIN dist d2 ON d2.src = a.v AND d2.dst = b.v LEFT JOIN dist d3 ON d3.src = b.v AND d3.dst = c.v LEFT JOIN dist d4 ON d4.src = c.v AND d4.dst = e.v LEFT JOIN dist d5 ON d5.src = e.v AND d5.dst = s.v
-WHERE a.v NOT IN (b.v, c.v, e.v) AND b.v NOT IN (c.v, e.v) AND c.v <> e.v GROUP BY 1""")
-def tour_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+WHERE a.v NOT IN (b.v, c.v, e.v) AND b.v NOT IN (c.v, e.v) AND c.v <> e.v)"""
+
+
+def _region_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("query_id")).agg(F.sort_array(F.collect_set(F.col("n_nationkey").cast("long"))).alias("all"))
     asked = regions.select("query_id", F.get("all", F.lit(0)).alias("source"), F.slice("all", 2, F.size("all") - 1).alias("mids"))
     return tours(both_ways(_cut(spark, sf_dir)), asked)
 
 
+@query(f"WITH {_TOURS} SELECT query_id, coalesce(min(length), {NO_TOUR})::BIGINT AS length FROM t GROUP BY 1")
+def tour_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _region_tours(spark, sf_dir).select("query_id", "length")
+
+
+@query(f"WITH {_TOURS} SELECT query_id, array_to_string(first(stops ORDER BY length, stops) FILTER (WHERE length IS NOT NULL), ',') AS stops FROM t GROUP BY 1")
+def tour_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _region_tours(spark, sf_dir).select("query_id", F.array_join("stops", ",").alias("stops"))
+
+
 @query(f"WITH {_DIST} SELECT src AS vertex, min(dst) AS component FROM dist GROUP BY 1")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(_vertices(spark, sf_dir), _cut(spark, sf_dir))

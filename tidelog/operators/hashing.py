@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.keyvalue import with_previous
+from tidelog.operators.ordering import ranked
 from tidelog.plans.registry import query
 from tidelog.sources.tables import OPLOG_SQL, oplog, table
 
 BUCKETS, HALF = 10, 5000
-#: Operations that share a block when lives and searches meet.
-BLOCK = 500
+#: Operations of a stretch of time in which ends are counted at once.
+BLOCK = 4096
 
 
 def lives(log: DataFrame) -> DataFrame:
@@ -27,20 +28,47 @@ def lives(log: DataFrame) -> DataFrame:
     return a.join(b, ["key", "n"], "left").select("key", "start", "stop")
 
 
+def earlier_ends(ended: DataFrame, asked: DataFrame, block: int = BLOCK) -> DataFrame:
+    """seq, n: for each of asked (seq, bucket, mine) how many of ended (bucket, start, stop) have start
+    < mine and stop < seq.
+
+    [0, mine) is cut at its binary places into blocks of times, one for each place that is set; a life
+    stands once in each level's block of its start. So rows grow with the logarithm of the times, not
+    with the lives. In a block, ends before a search are counted inside a stretch of time and over the
+    stretches before, as a block can hold any share of the lives.
+    """
+    levels = len(bin(asked.agg(F.coalesce(F.max("mine"), F.lit(0))).first()[0])) - 2
+    each = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    points = ended.select("bucket", "start", F.col("stop").alias("time"), each).select("bucket", "level", F.expr("shiftright(start, level)").alias("place"), "time", F.lit(None).cast("long").alias("seq"))
+    searches = asked.select("bucket", "mine", "seq", each).where("shiftright(mine, level) & 1 = 1")
+    searches = searches.select("bucket", "level", (F.expr("shiftright(mine, level)") - 1).alias("place"), F.col("seq").alias("time"), "seq")
+    all_ = points.unionByName(searches).withColumn("stretch", F.floor(F.col("time") / block))
+    end = F.col("seq").isNull().cast("long")
+    totals = all_.groupBy("bucket", "level", "place", "stretch").agg(F.sum(end).alias("ends"))
+    over = Window.partitionBy("bucket", "level", "place").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("bucket", "level", "place", "stretch", F.coalesce(F.sum("ends").over(over), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("bucket", "level", "place", "stretch").orderBy("time").rangeBetween(Window.unboundedPreceding, -1)
+    counted = all_.withColumn("near", F.coalesce(F.sum(end).over(inside), F.lit(0))).where("seq IS NOT NULL")
+    return counted.join(before, ["bucket", "level", "place", "stretch"]).groupBy("seq").agg(F.sum(F.col("near") + F.col("before")).alias("n"))
+
+
 def bucket_search(log: DataFrame) -> DataFrame:
     """seq, key, bucket, found, chain_index of each get: how many keys of the bucket that are there
-    began to live before it. Lives stand once in each block of time they reach, so that a search
-    meets the keys alive around it only."""
-    end = log.agg(F.max("seq").alias("end"))
-    spans = lives(log).join(F.broadcast(end)).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
-    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.coalesce("stop", "end") / BLOCK)))).alias("l")
-    gets = log.where("op = 'get'").select("seq", F.col("key").alias("asked"), F.pmod("key", F.lit(BUCKETS)).alias("bucket"), F.floor(F.col("seq") / BLOCK).alias("block"))
-    alive = gets.join(spans, ["bucket", "block"], "left").where("start IS NULL OR start < seq AND (stop IS NULL OR stop > seq)")
-    own = F.max(F.when(F.col("key") == F.col("asked"), F.col("start")))
-    mine = alive.groupBy("seq").agg(own.alias("mine"))
-    before = alive.join(mine, "seq").groupBy("seq", "mine").agg(F.count_if(F.col("start") < F.col("mine")).alias("n"))
-    found = gets.join(before, "seq", "left")
-    return found.select("seq", F.col("asked").alias("key"), "bucket", F.col("mine").isNotNull().alias("found"), F.when(F.col("mine").isNotNull(), F.col("n")).alias("chain_index"))
+    began to live before it, which is how many began before less how many of these have ended."""
+    there = F.coalesce(F.col("previous.op") == "put", F.lit(False))
+    begun = with_previous(log).withColumn("start", F.when((F.col("op") == "put") & ~there, F.col("seq"))).withColumn("there", there).drop("previous")
+    gets = begun.where("op = 'get' AND there").select("seq")
+    mine = with_previous(begun.select("seq", "key", "op", "value", "start"), mark=F.col("start")).where("op = 'get'")
+    mine = mine.join(gets, "seq").select("seq", F.col("previous").alias("mine"), F.pmod("key", F.lit(BUCKETS)).alias("bucket"))
+    lived = lives(log).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
+    # How many lives of the bucket begin before a life does: its place among them.
+    order = ranked(lived.select("bucket", "start"), "bucket", "start")
+    first = order.groupBy("bucket").agg(F.min("rank").alias("first"))
+    begins = order.join(F.broadcast(first), "bucket").select(F.col("start").alias("mine"), (F.col("rank") - F.col("first")).alias("begun"))
+    ends = earlier_ends(lived.where("stop IS NOT NULL"), mine)
+    found = mine.join(begins, "mine").join(ends, "seq", "left").select("seq", (F.col("begun") - F.coalesce("n", F.lit(0))).alias("chain_index"))
+    asked = log.where("op = 'get'").select("seq", "key", F.pmod("key", F.lit(BUCKETS)).alias("bucket"))
+    return asked.join(found, "seq", "left").select("seq", "key", "bucket", F.col("chain_index").isNotNull().alias("found"), "chain_index")
 
 
 def bucket_display(log: DataFrame) -> DataFrame:

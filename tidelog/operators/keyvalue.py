@@ -8,13 +8,15 @@ before, so that no task needs all operations of a key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.plans.registry import query
 from tidelog.sources.tables import OPLOG_SQL, oplog, table
 
 BLOCK = 4096
+#: Operations after which the store of kv_reset_epoch is emptied.
+RESET = 797
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -28,10 +30,12 @@ def snapshot(log: DataFrame) -> DataFrame:
     return latest(log).where("op = 'put'").select("key", "seq", "value")
 
 
-def with_previous(log: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The log and, as a struct, the last mutation of the key before each operation (or null)."""
-    mutation = F.when(F.col("op") != "get", F.struct("seq", "op", "value"))
-    cut = log.withColumn("block", F.floor(F.col("seq") / block)).withColumn("m", mutation)
+def with_previous(log: DataFrame, block: int = BLOCK, mark: Column | None = None) -> DataFrame:
+    """The log and, as a struct, the last mutation of the key before each operation (or null), or
+    the last mark instead: a column that is null where an operation is none."""
+    if mark is None:
+        mark = F.when(F.col("op") != "get", F.struct("seq", "op", "value"))
+    cut = log.withColumn("block", F.floor(F.col("seq") / block)).withColumn("m", mark)
     blocks = cut.where("m IS NOT NULL").groupBy("key", "block").agg(F.max("m").alias("last"))
     marks = cut.select("key", "block").distinct().join(blocks, ["key", "block"], "left")
     before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,10 +74,12 @@ def lower_bounds(log: DataFrame, probes: DataFrame, reach: int) -> DataFrame:
     return met.groupBy("key").agg(F.min("bound").alias("bound"))
 
 
-def since_reset(log: DataFrame, resets: DataFrame) -> DataFrame:
-    """The log after the last of the resets (a column seq)."""
-    last = resets.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("reset"))
-    return log.join(F.broadcast(last), log["seq"] > last["reset"]).drop("reset")
+def epoch_snapshots(log: DataFrame, operations: int) -> DataFrame:
+    """epoch, key, seq, value: what is there at the end of each epoch, when the store is emptied
+    after every so many operations."""
+    epoch = F.floor(F.col("seq") / operations).alias("epoch")
+    newest = log.where("op <> 'get'").groupBy(epoch, "key").agg(F.max(F.struct("seq", "op", "value")).alias("n"))
+    return newest.where("n.op = 'put'").select("epoch", "key", "n.seq", "n.value")
 
 
 def first_wins(log: DataFrame) -> DataFrame:
@@ -130,11 +136,9 @@ def kv_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lower_bounds(oplog(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), 5)
 
 
-@query(f"""WITH {OPLOG_SQL}, e AS (SELECT * FROM oplog WHERE seq > (SELECT max(seq) FROM oplog WHERE seq % 797 = 0))
-SELECT key, arg_max(seq, seq) AS seq, arg_max(value, seq) AS value FROM e WHERE op <> 'get' GROUP BY key HAVING arg_max(op, seq) = 'put'""")
+@query(f"""WITH {OPLOG_SQL} SELECT seq // {RESET} AS epoch, key, max(seq) AS seq, arg_max(value, seq) AS value FROM oplog WHERE op <> 'get' GROUP BY 1, 2 HAVING arg_max(op, seq) = 'put'""")
 def kv_reset_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = oplog(spark, sf_dir)
-    return snapshot(since_reset(log, log.where("seq % 797 = 0")))
+    return epoch_snapshots(oplog(spark, sf_dir), RESET)
 
 
 @query(f"""WITH {OPLOG_SQL}, g AS (SELECT key AS k, max(seq) AS gone FROM oplog WHERE op = 'del' GROUP BY key)

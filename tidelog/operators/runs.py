@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.plans.registry import query
+from tidelog.sources.scratch import checkpointed
 from tidelog.sources.tables import RUN_KEYS, RUNS_SQL, oplog, run_entries, table
 
 #: Bytes that an entry takes besides its value, and that a written run may hold.
@@ -56,27 +57,62 @@ def merged(entries: DataFrame) -> DataFrame:
     return newest.select("key", "n.op", "n.value", "n.ts")
 
 
-def compacted(entries: DataFrame, level: int) -> DataFrame:
-    """Victims of a level and what they overlap in the next one, merged."""
-    runs = metadata(entries)
-    mine = victims(runs).where(F.col("level") == level).select("run_id")
-    below = overlaps(runs).join(mine, "run_id", "left_semi").select(F.col("next_run_id").alias("run_id"))
-    return merged(entries.join(mine.union(below).distinct(), "run_id", "left_semi"))
+def envelopes(runs: DataFrame) -> DataFrame:
+    """level, first and last key of all victims of a level together."""
+    return victims(runs).groupBy("level").agg(F.min("min_key").alias("first_key"), F.max("max_key").alias("last_key"))
 
 
-def split(entries: DataFrame, budget: int = RUN_BYTES) -> DataFrame:
-    """file, first and last key, entries and bytes of output files cut by running bytes.
+def inputs(runs: DataFrame, level: int) -> DataFrame:
+    """run_id of a level's victims and of the next level's runs that meet their joint range."""
+    joint = envelopes(runs).where(F.col("level") == level)  # one row
+    below = runs.where(F.col("level") == level + 1).join(F.broadcast(joint.drop("level")), F.expr("min_key <= last_key AND first_key <= max_key"))
+    return victims(runs).where(F.col("level") == level).select("run_id").union(below.select("run_id"))
+
+
+def compacted(entries: DataFrame, level: int) -> DataFrame:
+    """Victims of a level and what they meet in the next one, merged."""
+    return merged(entries.join(inputs(metadata(entries), level), "run_id", "left_semi"))
+
+
+def cascaded(entries: DataFrame, budget: int = RUN_BYTES) -> DataFrame:
+    """The entries after compacting level by level until no level has too many runs: what a level has
+    too many of is merged into the next one, as files cut by running bytes that share the newest
+    time of their inputs. A loop of as many rounds as there are levels."""
+    level, entries = 0, checkpointed(entries)
+    while True:
+        runs = checkpointed(metadata(entries))
+        top = runs.agg(F.coalesce(F.max("level"), F.lit(-1))).first()[0]
+        if level > top:
+            return entries
+        mine = checkpointed(inputs(runs, level))
+        if not mine.isEmpty():
+            taken = entries.join(mine, "run_id", "left_semi")
+            newest = taken.agg(F.max("ts")).first()[0]
+            whole = taken.groupBy("key").agg(F.max(F.struct("ts", "seq", "op", "value")).alias("n")).select("key", "n.seq", "n.op", "n.value")
+            out = placed(whole, budget).withColumn("run_id", F.shiftleft(F.lit(level + 1).cast("long"), 40) + F.col("file"))
+            out = out.select("run_id", F.lit(newest).cast("long").alias("ts"), F.lit(level + 1).cast("long").alias("level"), "key", "op", "value", "seq")
+            kept = entries.join(mine, "run_id", "left_anti").select(*out.columns)
+            entries = checkpointed(kept.unionByName(out))
+        level += 1
+
+
+def placed(entries: DataFrame, budget: int) -> DataFrame:
+    """entries and the output file of each, cut by running bytes.
 
     The sum runs inside each run's key range and over the ranges' totals, never over all rows.
     """
-    sized = entries.select("key", F.floor(F.col("key") / RUN_KEYS).alias("range"), (ENTRY_BYTES + F.coalesce(F.length("value"), F.lit(0))).cast("long").alias("size"))
+    sized = entries.withColumn("range", F.floor(F.col("key") / RUN_KEYS)).withColumn("size", (ENTRY_BYTES + F.coalesce(F.length("value"), F.lit(0))).cast("long"))
     inside = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     totals = sized.groupBy("range").agg(F.sum("size").alias("n"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     offsets = totals.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    placed = sized.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, "range")
-    file = F.floor((F.col("at") + F.col("offset")) / budget).alias("file")
-    return placed.groupBy(file).agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes"))
+    found = sized.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, "range")
+    return found.withColumn("file", F.floor((F.col("at") + F.col("offset")) / budget)).drop("range", "at", "offset")
+
+
+def split(entries: DataFrame, budget: int = RUN_BYTES) -> DataFrame:
+    """file, first and last key, entries and bytes of output files cut by running bytes."""
+    return placed(entries, budget).groupBy("file").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count(F.lit(1)).alias("entries"), F.sum("size").alias("bytes"))
 
 
 def probed(entries: DataFrame, probes: DataFrame) -> DataFrame:
@@ -114,7 +150,19 @@ def compaction_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return victims(metadata(run_entries(oplog(spark, sf_dir))))
 
 
-@query(f"""WITH {_META}, mine AS (SELECT run_id FROM vict WHERE level = 0 UNION SELECT b.run_id FROM vict a JOIN meta b ON a.level = 0 AND b.level = 1 AND a.min_key <= b.max_key AND b.min_key <= a.max_key)
+@query(f"WITH {_META} SELECT level, min(min_key) AS first_key, max(max_key) AS last_key FROM vict GROUP BY level")
+def compaction_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return envelopes(metadata(run_entries(oplog(spark, sf_dir))))
+
+
+@query()
+def compaction_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that are left once no level has too many."""
+    return metadata(cascaded(run_entries(oplog(spark, sf_dir))))
+
+
+@query(f"""WITH {_META}, joint AS (SELECT min(min_key) AS lo, max(max_key) AS hi FROM vict WHERE level = 0),
+mine AS (SELECT run_id FROM vict WHERE level = 0 UNION SELECT run_id FROM meta, joint WHERE level = 1 AND min_key <= hi AND lo <= max_key)
 SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value, max(ts) AS ts FROM entries WHERE run_id IN (SELECT run_id FROM mine) GROUP BY key""")
 def compaction_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compacted(run_entries(oplog(spark, sf_dir)), 0)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashes import mix32, mix32_sql, murmur3
+from tidelog.functions.hashes import mix32, mix32_sql, murmur3, murmur3_sql
 from tidelog.plans.registry import query
-from tidelog.sources.tables import RUN_EVENTS, oplog, table
+from tidelog.sources.tables import RUN_KEYS, RUNS_SQL, oplog, run_entries, table
 
-BITS, PROBES = 500, 5
+#: Bits of a run's filter, which holds the RUN_KEYS keys of its range at most, and probes of a key.
+BITS, PROBES = 80, 5
 #: Bits of the filter of four Murmur3 words.
 WIDE_BITS = 81_920
 
@@ -26,20 +27,51 @@ def filters(entries: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def hits(probes: DataFrame, filter_bits: DataFrame) -> DataFrame:
-    """(run, key): the probes (key, bit) whose bits are all set in the run's filter."""
-    own = probes.select("key", "bit").distinct()
-    sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("bits"))
-    met = own.join(filter_bits, "bit").groupBy("run", "key").agg(F.count(F.lit(1)).alias("set"))
-    return met.join(sizes, "key").where(F.col("set") == F.col("bits")).select("run", "key")
+    """(run, key): the probes (run, key, bit), those that a run was asked for, whose bits are all set
+    in the run's filter. Joined by run and bit, so that no bit gathers all probes."""
+    own = probes.select("run", "key", "bit").distinct()
+    met = own.join(filter_bits.withColumn("hit", F.lit(1)), ["run", "bit"], "left")
+    return met.groupBy("run", "key").agg(F.count(F.lit(1)).alias("bits"), F.count("hit").alias("set")).where(F.col("set") == F.col("bits")).select("run", "key")
+
+
+def stored(filter_bits: DataFrame, bits: int) -> DataFrame:
+    """run, filter: each run's bits as a string of bits / 8 bytes, the lowest bit of a byte first, as
+    it is kept beside the run."""
+    ones = filter_bits.groupBy("run").agg(F.collect_set(F.col("bit").cast("int")).alias("ones"))
+    byte = lambda k: F.aggregate(F.filter("ones", lambda b: F.floor(b / 8) == k), F.lit(0).cast("int"), lambda acc, b: acc + F.pow(F.lit(2), F.pmod(b, F.lit(8))).cast("int"))
+    digits = F.transform(F.sequence(F.lit(0), F.lit(-(-bits // 8) - 1)), lambda k: F.lpad(F.hex(byte(k)), 2, "0"))
+    return ones.select("run", F.unhex(F.array_join(digits, "")).alias("filter"))
+
+
+def restored(filters_: DataFrame) -> DataFrame:
+    """(run, bit) of stored filters."""
+    places = filters_.select("run", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("filter")), lambda k: F.conv(F.hex(F.substring("filter", k, F.lit(1))), 16, 10).cast("int"))).alias("at", "byte"))
+    return places.select("run", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.when(F.getbit("byte", b) == 1, F.col("at") * 8 + b)), lambda x: x.isNotNull())).alias("bit")).select("run", F.col("bit").cast("long").alias("bit"))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oplog(spark, sf_dir).where("op = 'put' AND key % 4 = 0").select(F.floor(F.col("seq") / RUN_EVENTS).alias("run"), "key").distinct()
+    """(run, key): the keys that each run of the log holds."""
+    return run_entries(oplog(spark, sf_dir)).select(F.col("run_id").alias("run"), "key")
+
+
+def _asked(spark: SparkSession, sf_dir: str, entries: DataFrame) -> DataFrame:
+    """(run, key): each customer's key with the runs whose range of keys has it."""
+    runs = entries.select("run", F.floor(F.col("key") / RUN_KEYS).alias("range")).distinct()
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.floor(F.col("c_custkey") / RUN_KEYS).alias("range"))
+    return keys.join(runs, "range").select("run", "key")
+
 
+_ASKED_SQL = f"""{RUNS_SQL}, r AS (SELECT run_id AS run, key FROM entries),
+a AS (SELECT DISTINCT run, c_custkey AS key FROM customer JOIN r ON c_custkey // {RUN_KEYS} = r.key // {RUN_KEYS})"""
+_BITS_SQL = f"""{_ASKED_SQL}, f AS (SELECT DISTINCT run, bit FROM {mix32_sql(f"(SELECT run, key * unnest(range(1, {PROBES + 1})) AS m FROM r)", "m", BITS, "bit")}),
+p AS (SELECT DISTINCT run, key, bit FROM {mix32_sql(f"(SELECT run, key, key * unnest(range(1, {PROBES + 1})) AS m FROM a)", "m", BITS, "bit")}),
+h AS (SELECT run, key FROM p LEFT JOIN f USING (run, bit) GROUP BY run, key HAVING count(f.bit) = count(*))"""
+_FOUND_SQL = "SELECT run, count(*) AS hits, count(*) FILTER (WHERE (run, key) NOT IN (SELECT (run, key) FROM r)) AS false_hits FROM h GROUP BY 1"
 
-_BITS_SQL = f"""r AS (SELECT DISTINCT event_id // {RUN_EVENTS} AS run, user_id AS key FROM events WHERE event_type NOT IN ('error', 'view') AND user_id % 4 = 0),
-f AS (SELECT DISTINCT run, bit FROM {mix32_sql(f"(SELECT run, key * unnest(range(1, {PROBES + 1})) AS m FROM r)", "m", BITS, "bit")}),
-p AS (SELECT DISTINCT key, bit FROM {mix32_sql(f"(SELECT c_custkey AS key, c_custkey * unnest(range(1, {PROBES + 1})) AS m FROM customer)", "m", BITS, "bit")})"""
+
+def _counted(found: DataFrame, entries: DataFrame) -> DataFrame:
+    marked = found.join(entries.withColumn("known", F.lit(1)), ["run", "key"], "left")
+    return marked.groupBy("run").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("known").isNull()).alias("false_hits"))
 
 
 @query(f"WITH {_BITS_SQL} SELECT run, count(*) AS bits_set FROM f GROUP BY 1")
@@ -47,23 +79,32 @@ def bloom_bits_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters(_entries(spark, sf_dir)).groupBy("run").agg(F.count(F.lit(1)).alias("bits_set"))
 
 
-@query(f"""WITH {_BITS_SQL}, n AS (SELECT key, count(*) AS n FROM p GROUP BY 1), h AS (SELECT run, key FROM p JOIN f USING (bit) JOIN n USING (key) GROUP BY run, key, n HAVING count(*) = n)
-SELECT run, count(*) AS hits, count(*) FILTER (WHERE (run, key) NOT IN (SELECT (run, key) FROM r)) AS false_hits FROM h GROUP BY 1""")
+@query(f"WITH {_BITS_SQL} {_FOUND_SQL}")
 def bloom_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)
-    probes = probe_bits(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")))
-    found = hits(probes, filters(entries))
-    known = entries.withColumn("known", F.lit(1))
-    marked = found.join(known, ["run", "key"], "left")
-    return marked.groupBy("run").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("known").isNull()).alias("false_hits"))
+    return _counted(hits(probe_bits(_asked(spark, sf_dir, entries)), filters(entries)), entries)
+
 
+@query(f"""WITH {_BITS_SQL}, b AS (SELECT run, bit // 8 AS place, sum(1 << (bit % 8)::INT) AS byte FROM f GROUP BY 1, 2),
+g AS (SELECT run, place, coalesce(byte, 0)::BIGINT AS byte FROM (SELECT DISTINCT run, unnest(range(0, {-(-BITS // 8)})) AS place FROM f) LEFT JOIN b USING (run, place))
+SELECT run, string_agg(printf('%02X', byte), '' ORDER BY place) AS filter FROM g GROUP BY 1""")
+def bloom_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filters as they are stored, in hexadecimal digits."""
+    return stored(filters(_entries(spark, sf_dir)), BITS).select("run", F.hex("filter").alias("filter"))
 
-@query()
+
+@query(f"""WITH {_ASKED_SQL}, f AS (SELECT DISTINCT run, bit FROM {murmur3_sql("r", "key", WIDE_BITS)}), p AS (SELECT DISTINCT run, key, bit FROM {murmur3_sql("a", "key", WIDE_BITS)}),
+h AS (SELECT run, key FROM p LEFT JOIN f USING (run, bit) GROUP BY run, key HAVING count(f.bit) = count(*)) {_FOUND_SQL}""")
 def bloom_run_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates of the runs' wide filters: per run how many probed keys pass, and how many are there."""
+    """Gates of the runs' wide filters: per run how many of the keys that it is asked for pass, and
+    how many of these it doesn't hold."""
     entries = _entries(spark, sf_dir)
     bits = lambda df: df.withColumn("bit", F.explode(F.transform(murmur3("key"), lambda w: w % WIDE_BITS)))
-    probes = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("key"))
-    passed = hits(bits(probes), bits(entries).select("run", "bit").distinct())
-    marked = passed.join(entries.withColumn("known", F.lit(1)), ["run", "key"], "left")
-    return marked.groupBy("run").agg(F.count(F.lit(1)).alias("passed"), F.count_if(F.col("known").isNotNull()).alias("present"))
+    return _counted(hits(bits(_asked(spark, sf_dir, entries)), bits(entries).select("run", "bit").distinct()), entries)
+
+
+@query(f"SELECT c_custkey AS key, word, bit AS value FROM {murmur3_sql('customer', 'c_custkey', 1 << 32)}")
+def murmur3_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four words of each customer's key."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("key"))
+    return keys.select("key", F.posexplode(murmur3("key")).alias("word", "value")).select("key", F.col("word").cast("long").alias("word"), "value")
