@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.scratch import shared_dir
+
 #: White space of the word rules of the contracts.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACES = "\t\n\x0b\x0c\r"
@@ -22,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where that is unset (tests on one machine) a folder of this machine is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, reread.
 
