@@ -19,6 +19,7 @@ gives an empty table; other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -58,23 +59,41 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The steps of a tokenizer that Encoder takes chunk by chunk: fixed values of the tokenizer's file.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def _by_chunks(tokenizer) -> bool:
+    """Whether the tokenizer never joins over a blank or a line end, as Encoder knows it."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return False
+    normal, split = (json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    steps = split.get("pretokenizers") or [{}]
+    return normal.get("normalizers") == _NORMALIZERS and steps[0] == _SPLIT and [x["type"] for x in steps[1:]] == ["ByteLevel"]
+
+
 class Encoder:
-    """Ids of whole texts for a tokenizer that never joins over a blank or a line end.
+    """Ids of whole texts; by chunks for a tokenizer that never joins over a blank or a line end.
 
     word_bpe_49k drops white space before it splits and lower-cases by character, so the ids of
     a text are those of its chunks between blanks in turn, a first ASCII capital counts as its
     small letter, and a comma or full stop after a letter is a token of its own. What isn't
     known yet is encoded by the library: plain words by its model alone, other chunks whole and
-    many at a time, joined by a special token at whose id the result is cut again.
+    many at a time, joined by a special token at whose id the result is cut again. Texts for a
+    tokenizer of other steps are encoded whole.
     """
 
     def __init__(self, path: str, separator: str = "<|endoftext|>") -> None:
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
+        self.by_chunks = _by_chunks(self.tokenizer) and self.tokenizer.token_to_id(separator) is not None
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
         self.known: dict[str, bytes] = {"": b""}
 
     def __call__(self, text: str | None) -> bytes:
+        if not self.by_chunks:
+            return np.asarray(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
         chunks = (text or "").replace("\n", " ").split(" ")
         known = self.known
         found = [known.get(c) for c in chunks]
@@ -124,10 +143,11 @@ _VISIBLE = _visible()
 
 
 def _parts(chunk: str) -> tuple[str, ...]:
-    """The chunk without its first ASCII capital, and its last comma or full stop apart."""
+    """The chunk without its first ASCII capital, and its last comma or full stop apart, unless what is
+    before it doesn't end in a letter once in lower case: a combining mark joins the stop."""
     if "A" <= chunk[0] <= "Z":
         chunk = chunk[0].lower() + chunk[1:]
-    if chunk[-1] in ",." and len(chunk) > 1 and chunk[-2].isalpha():
+    if chunk[-1] in ",." and len(chunk) > 1 and chunk[-2].isalpha() and chunk[-2].lower()[-1].isalpha():
         return chunk[:-1], chunk[-1]
     return (chunk,)
 
