@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import SPACE_CLASS, bound, space_words, without
+from tidelog.llm.common import SPACE_CLASS, bound, free_name, space_words, without
 
 #: Words that running prose of the four languages can't do without.
 STOP_WORDS = (
@@ -50,7 +50,8 @@ BASE_RULES = (
     Rule("enough words", "n_words", ">=", 50 * 100),
     Rule("few repeated windows", "n_repeat_words", "<=", 50, "n_words"),
 )
-#: The method's rules: whole numbers, so that both engines agree to the last row.
+#: The method's rules: whole numbers, so that both engines agree to the last row. Of lines, 40 in 100
+#: may repeat others: one in three is what a short text of three lines with a line said twice has.
 RULES = (
     *BASE_RULES,
     Rule("words not too short", "word_chars", ">=", 150, "n_words"),
@@ -76,9 +77,10 @@ PLACE_BITS = 16
 def _repeat_words(words: Column) -> Column:
     """Words in windows of three that stand twice or more in the text.
 
-    Windows are hashed and sorted with their place, so equal ones are neighbours; each start
-    of a repeated window then covers its three words, less what the next one covers. Up to
-    2^16 words hash and place share one long, whose sort is quick; longer texts take a struct.
+    Windows are sorted by hash with their place, so that equal ones are neighbours, and the words
+    themselves are compared where hashes meet; each start of a repeated window then covers its three
+    words, less what the next one covers. The hash only orders: how hash and place are kept (one long
+    up to 2^16 words, whose sort is quick, a struct beyond) doesn't matter to the result.
     """
     n = F.size(words)
     return (
@@ -100,9 +102,19 @@ def _covered(words: Column, pack: Callable, hash_of: Callable, place_of: Callabl
         )
     )
 
+    def equal(x: Column, y: Column) -> Column:
+        i, j = place_of(x), place_of(y)
+        windows = [F.get(words, i + k).eqNullSafe(F.get(words, j + k)) for k in range(3)]
+        return hash_of(x).eqNullSafe(hash_of(y)) & windows[0] & windows[1] & windows[2]
+
     def repeated(s: Column) -> Column:
-        same = F.filter(s, lambda x, i: hash_of(x).eqNullSafe(hash_of(F.get(s, i + 1))) | hash_of(x).eqNullSafe(hash_of(F.get(s, i - 1))))
-        return F.sort_array(F.transform(same, place_of))
+        def twice(x: Column, i: Column) -> Column:
+            before, after = F.get(s, i - 1), F.get(s, i + 1)
+            met = hash_of(x).eqNullSafe(hash_of(after)) | hash_of(x).eqNullSafe(hash_of(before))
+            # Other windows of the same hash may stand between equal ones.
+            return F.when(equal(x, after) | equal(x, before), True).when(met, F.exists(s, lambda y: equal(x, y) & (place_of(x) != place_of(y)))).otherwise(False)
+
+        return F.sort_array(F.transform(F.filter(s, twice), place_of))
 
     return F.aggregate(
         bound(starts, repeated),
@@ -151,7 +163,8 @@ def failed_rules(rules: tuple[Rule, ...], quality: str = "quality") -> Column:
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return measures(docs, out="__quality").where(passes(rules, "__quality")).drop("__quality")
+    out = free_name(docs, "quality")
+    return measures(docs, out=out).where(passes(rules, out)).drop(out)
 
 
 def op5_quality_rules(docs: DataFrame) -> DataFrame:
