@@ -1,20 +1,22 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-An item's set holds its distinct shingles (alphanumeric words, A-Z lower-cased) as hashes. Items
-are partitioned by set size; in a partition whose sizes stay below u, an item's MinHash sketch is
-its floor((1 - t) * u) + 1 smallest hashes. A document with at least the part t of an item's
-shingles lacks fewer than that, so it has one of the sketch: no document of any length is missed.
-Documents that meet a sketch are verified by exact containment: 100 * shared >= PER_CENT * size.
-
-The item index is small beside the corpus; up to INDEX_LIMIT entries it is broadcast and each
-document is searched where it stands, without a shuffle. A larger benchmark goes through joins on
-the hashes, with the same result.
+A set holds the distinct shingles (alphanumeric words, A-Z lower-cased) of a text as hashes. Items are
+partitioned by set size; in a partition whose sizes stay below u, an item's MinHash sketch is its
+floor((1 - t) * u) + 1 smallest hashes. A document with at least the part t of an item's shingles
+lacks fewer than that, so it has one of the sketch: whatever a document's length, none is missed
+(recall 1). Documents look up their hashes among the sketches alone; the items they meet there are
+the candidates, and only candidates are verified by exact containment:
+100 * shared >= PER_CENT * size.
+
+The items are small beside the corpus; up to INDEX_LIMIT shingles they are broadcast and each
+document is searched where it stands, without a shuffle. A larger benchmark goes through joins with
+the sketches, and the candidates' texts and items through joins by key, with the same result.
 
 Defined results for unusual input: null, empty or blank texts and items contain nothing and are
 contained in nothing; a text or item of fewer than five words has its whole sequence as its one
 shingle, so such an item is found only in a document of just these words; a hit row stands for
-each repeated row of a document; items with equal ids are told apart only by their text; an empty
-table on either side gives no hits; other columns are not read.
+each repeated row of a document; items with equal ids are told apart only by their shingles; ids may be
+null on either side; an empty table on either side gives no hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,19 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import free_name, written
 from tidelog.llm.shingles import NOT_ALPHANUMERIC, shingle_runs, shingle_set
 
 WIDTH = 5
 PER_CENT = 75
-#: Entries (item, shingle) up to which the index is broadcast: 24 bytes each, so 120 MB at most.
+#: Shingles of all items up to which they are broadcast: eight bytes each, so 40 MB at most, and 20 MB of sketches.
 INDEX_LIMIT = 5_000_000
 #: Items of sizes in [b^k, b^(k + 1)) make a partition.
 SIZE_BASE = 1.25
 HITS = "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint"
+_U = np.uint64
 
 
 def sketch_size(n: int, per_cent: int = PER_CENT) -> int:
@@ -46,60 +49,66 @@ def sketch_size(n: int, per_cent: int = PER_CENT) -> int:
     return min(n, (100 - per_cent) * top // 100 + 1)
 
 
-def item_entries(benchmark: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
-    """(item, item_id, n_item, element, in_sketch): a row for each shingle of each item."""
+def item_sets(benchmark: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
+    """The written (item, item_id, n_item, elements, sketch): a row for each item with a word; item is
+    the set's hash, elements are sorted, and the first of them, sketch, is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for item_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                elements = shingle_set(text.as_py(), width, NOT_ALPHANUMERIC)
-                if not len(elements):
-                    continue
-                key = int(np.bitwise_xor.reduce(elements).view(np.int64))
-                least = sketch_size(len(elements), per_cent)
-                for column, values in zip(rows, ([key] * len(elements), [item_id.as_py()] * len(elements), [len(elements)] * len(elements), elements.view(np.int64).tolist(), [k < least for k in range(len(elements))]), strict=True):
-                    column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.bool_())], names=["item", "item_id", "n_item", "element", "in_sketch"])
+            sets = [shingle_set(t.as_py(), width, NOT_ALPHANUMERIC) for t in batch.column(1)]
+            keep = [k for k, x in enumerate(sets) if len(x)]
+            items = [int(np.bitwise_xor.reduce(sets[k]).view(np.int64)) for k in keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(items, pa.int64()), batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].tobytes() for k in keep], pa.binary()), pa.array([sketch_size(len(sets[k]), per_cent) for k in keep], pa.int64())],
+                names=["item", "item_id", "n_item", "elements", "sketch"],
+            )
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(run, "item bigint, item_id bigint, n_item bigint, element bigint, in_sketch boolean")
+    found = rows.mapInArrow(run, "item bigint, item_id bigint, n_item bigint, elements binary, sketch bigint")
+    return written(found.dropDuplicates(["item", "item_id"]), "items")
 
 
 class Index:
-    """The entries as sorted arrays: elements with the items that have them."""
-
-    def __init__(self, elements: np.ndarray, items: np.ndarray, sketch: np.ndarray, sizes: np.ndarray) -> None:
-        self.sizes = sizes
-        self.unique, at = np.unique(elements, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        self.items, self.sketch = items[order], sketch[order]
-        self.first = np.searchsorted(at[order], np.arange(len(self.unique) + 1))
+    """Items by the hashes of their sketches, and their whole sets to verify candidates."""
+
+    def __init__(self, sets: list[np.ndarray], sketches: list[int]) -> None:
+        self.sets = sets
+        held = np.concatenate([x[:k] for x, k in zip(sets, sketches, strict=True)]) if sets else np.zeros(0, dtype=_U)
+        order = np.argsort(held, kind="stable")
+        self.items = np.repeat(np.arange(len(sets)), [min(k, len(x)) for x, k in zip(sets, sketches, strict=True)])[order]
+        self.unique, self.first = np.unique(held[order], return_index=True)
+        self.first = np.append(self.first, len(held))
         self.low = np.zeros(1 << 22, dtype=bool)
-        self.low[self.unique & np.uint64((1 << 22) - 1)] = True
+        self.low[self.unique & _U((1 << 22) - 1)] = True
 
-    def search(self, runs: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
-        """(item, shared) of the items that a text of these shingles contains."""
-        runs = runs[self.low[runs & np.uint64((1 << 22) - 1)]]
+    def candidates(self, runs: np.ndarray) -> np.ndarray:
+        """The items with a hash of their sketch among these shingles."""
+        runs = runs[self.low[runs & _U((1 << 22) - 1)]]
         if not len(runs) or not len(self.unique):
-            return []
+            return self.items[:0]
         at = np.searchsorted(self.unique, runs)
         at = np.unique(at[self.unique[np.minimum(at, len(self.unique) - 1)] == runs])
-        if not len(at):
+        return np.unique(np.concatenate([self.items[self.first[i] : self.first[i + 1]] for i in at])) if len(at) else self.items[:0]
+
+    def search(self, runs: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
+        """(item, shared) of the items that a text of these shingles contains."""
+        candidates = self.candidates(runs).tolist()
+        if not candidates:
             return []
-        entries = np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in at])
-        candidates = np.unique(self.items[entries[self.sketch[entries]]])
-        items, shared = np.unique(self.items[entries], return_counts=True)
-        keep = np.isin(items, candidates) & (100 * shared >= per_cent * self.sizes[items])
-        return list(zip(items[keep].tolist(), shared[keep].tolist(), strict=True))
-
-
-def _by_index(docs: DataFrame, entries: DataFrame, width: int, per_cent: int) -> DataFrame:
-    rows = entries.toPandas()  # at most INDEX_LIMIT rows
-    keys = rows[["item", "item_id", "n_item"]].drop_duplicates().reset_index(drop=True)
-    place = rows.merge(keys.reset_index(names="place"), on=["item", "item_id", "n_item"])["place"].to_numpy(dtype=np.int64)
-    ids, sizes = [None if i != i else int(i) for i in keys["item_id"].astype(object)], keys["n_item"].to_numpy(dtype=np.int64)
-    index = Index(rows["element"].to_numpy(dtype=np.int64).view(np.uint64), place, rows["in_sketch"].to_numpy(dtype=bool), sizes)
+        own = np.unique(runs)
+        shared = [shared_count(self.sets[i], own) for i in candidates]
+        return [(i, n) for i, n in zip(candidates, shared, strict=True) if 100 * n >= per_cent * len(self.sets[i])]
+
+
+def shared_count(item: np.ndarray, own: np.ndarray) -> int:
+    """How many of an item's shingles a text's sorted shingles hold."""
+    return int((own[np.minimum(np.searchsorted(own, item), len(own) - 1)] == item).sum())
+
+
+def _by_index(docs: DataFrame, items: DataFrame, width: int, per_cent: int) -> DataFrame:
+    rows = items.select("item_id", "elements", "sketch").orderBy("item_id", "elements").toArrow()  # at most INDEX_LIMIT shingles
+    ids = rows["item_id"].to_pylist()
+    index = Index([np.frombuffer(x, dtype="<u8") for x in rows["elements"].to_pylist()], rows["sketch"].to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,42 +117,57 @@ def _by_index(docs: DataFrame, entries: DataFrame, width: int, per_cent: int) ->
             hits: tuple[list, list, list, list] = ([], [], [], [])
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 for item, n in found.search(shingle_runs(text.as_py(), width, NOT_ALPHANUMERIC), per_cent):
-                    for column, value in zip(hits, (doc_id.as_py(), ids[item], int(found.sizes[item]), n), strict=True):
+                    for column, value in zip(hits, (doc_id.as_py(), ids[item], len(found.sets[item]), n), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in hits], names=["doc_id", "item_id", "n_item", "n_shared"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HITS)
 
 
-def _by_joins(docs: DataFrame, entries: DataFrame, width: int, per_cent: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key")
+
+
+def _by_joins(docs: DataFrame, items: DataFrame, width: int, per_cent: int) -> DataFrame:
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width, NOT_ALPHANUMERIC).view(np.int64) for t in batch.column(1)]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["key", "element"])
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x.as_buffer(), dtype="<i8")[: k.as_py()] for x, k in zip(batch.column(1), batch.column(2), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(held)), [len(s) for s in held]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(held) if held else np.zeros(0, np.int64))], names=["item", "element"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width, NOT_ALPHANUMERIC).view(np.int64) for t in batch.column(2)]
-            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            elements = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(elements)], names=["row", "doc_id", "element"])
+            counts = [shared_count(np.frombuffer(x.as_buffer(), dtype="<u8"), shingle_set(t.as_py(), width, NOT_ALPHANUMERIC)) for t, x in zip(batch.column(1), batch.column(4), strict=True)]
+            keep = pa.array([100 * n >= per_cent * size for n, size in zip(counts, batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["doc_id", "item_id", "n_item", "n_shared"])
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = entries.select("element").distinct()
-    met = written(numbered.mapInArrow(run, "row bigint, doc_id bigint, element bigint").join(wanted, "element", "left_semi"), "elements")
-    candidates = met.join(entries.where("in_sketch"), "element").select("row", "item", "item_id").distinct()
-    shared = met.join(entries, "element").alias("m").join(candidates.alias("c"), F.expr("m.row = c.row AND m.item = c.item AND m.item_id <=> c.item_id"), "left_semi")
-    counted = shared.groupBy("row", "item", "doc_id", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
-    return counted.where(f"100 * n_shared >= {per_cent} * n_item").select("doc_id", "item_id", "n_item", "n_shared")
+    sketch = items.select("item", "elements", "sketch").mapInArrow(sketches, "item bigint, element bigint")
+    met = docs.select(_text_key(), "text").mapInArrow(elements, "key string, element bigint").join(sketch, "element").select("key", "item").distinct()
+    candidates = written(met, "candidates")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(), "text").join(candidates, "key")
+    return texts.join(items, "item").select("doc_id", "text", "item_id", "n_item", "elements").mapInArrow(verify, HITS)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT, limit: int = INDEX_LIMIT) -> DataFrame:
     """doc_id, item_id, n_item, n_shared: a row for each item that a document contains."""
-    entries = written(item_entries(benchmark, width, per_cent), "items")
-    small = entries.count() <= limit
-    return (_by_index if small else _by_joins)(docs, entries, width, per_cent)
+    items = item_sets(benchmark, width, per_cent)
+    shingles = items.agg(F.coalesce(F.sum("n_item"), F.lit(0))).first()[0]
+    return (_by_index if shingles <= limit else _by_joins)(docs, items, width, per_cent)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item, with the columns they came with. A row goes if any row
     of its id contains an item."""
-    found = hits(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__hit"]), "left_anti")
+    hit = free_name(docs, "hit")
+    found = hits(docs, benchmark).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[hit]), "left_anti")
 
 
 def op7_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
