@@ -3,10 +3,15 @@
 Each class has an interpolated Kneser-Ney model over the characters of a word (begin and end
 marks included, ORDER characters at most). A class's own counts back off to the model of both
 classes together, and that one to continuation counts of ever shorter grams, so a rare expression
-is smoothed by what either class knows of it and of its parts. What a scorer needs is one number
-for each gram, the log of the ratio of the two likelihoods. A gram with fewer than MIN_COUNT
-occurrences in all tells nothing about either class (the smaller class would win, as it has seen
-less) and counts as 0.
+is smoothed by what either class knows of it and of its parts.
+
+What is compared are the two log-likelihoods, so a text needs their difference alone, the log of the
+ratio for each of its grams. A gram that the labelled texts have gives the ratio of both smoothed
+probabilities. For one that they don't have, each class backs off to the same shared probability,
+which cancels: what is left is the ratio of the two backoff weights of its context, or nothing where
+the context is new as well. The model is thus two tables, of grams and of contexts, of any size; up to
+MODEL_LIMIT entries they are broadcast as arrays and texts are scored where they stand, beyond
+that words meet them by joins, with the same result.
 
 A document is compared by its length-normalised log-likelihoods: the mean over all its words, and
 the largest mean over windows of WINDOW words, which doesn't thin out in long texts. A logistic
@@ -17,7 +22,7 @@ Labelled rows with remainder 2 of crc32(doc_id as text) by 4 are held out: neith
 fitted. Rows with remainder 0 or 1 are counted, all of them; of rows with remainder 3 at most
 FIT_ROWS, those with the smallest hash, fit the curve.
 
-Defined results for unusual input: null, empty and wordless texts have likelihoods of 0 and get
+Defined results for unusual input: null, empty and wordless texts have a difference of 0 and get
 the score of that; repeated rows get equal scores; a null id counts as an empty text's remainder
 (0, not held out); rows of one id with several labels count with each; without labelled rows of
 both classes every score is 0.5; an empty table gives an empty table; other columns are not read.
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +40,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import written
+from tidelog.llm.shingles import mixed, sequence_hashes
 
 ORDER = 6
 DISCOUNT = 0.75
-MIN_COUNT = 3
 #: Probability of a character that was never seen.
 FLOOR = 1e-4
 WINDOW = 24
 #: Rows that the curve is fitted on, at most.
 FIT_ROWS = 20_000
-#: Grams that the scorer holds at most (about 150 bytes each in a worker): those that tell most.
-MODEL_ENTRIES = 1_000_000
+#: Entries up to which a model is broadcast: twelve bytes each, so 180 MB at most.
+MODEL_LIMIT = 15_000_000
 THRESHOLD = 0.3
 #: Entries of a worker's table of scored words; it starts anew when full.
 CACHE = 500_000
+#: Texts that are scored at once.
+_TEXTS = 500
+#: Kinds of the model's entries.
+SEEN, CONTEXT = 1, 2
 _WORD = re.compile(r"[^\W_]+")
-Model = dict[str, float]
+_U = np.uint64
 
 
 def remainder(doc_id: Column) -> Column:
@@ -64,7 +74,8 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 
 def gram_ratios(words: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
-    """(gram, ratio, weight): log p1 - log p0 of a gram's last character after its others."""
+    """(kind, gram, ratio): log p1 - log p0 of a gram's last character after its others (SEEN), and of any
+    other character after a context (CONTEXT)."""
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     grams = words.select(
         F.explode(F.transform(F.sequence(F.lit(2), F.length("word") + 2), lambda i: marked.substr(F.greatest(i - order + 1, F.lit(1)), F.least(i, F.lit(order))))).alias("gram"), "n1", "n0"
@@ -90,7 +101,7 @@ def gram_ratios(words: DataFrame, order: int = ORDER, discount: float = DISCOUNT
             below = here.join(backoff.select(F.col("suffix").alias("s"), F.col("p").alias("q")), F.expr("substring(suffix, 2) = s"), "left")
             found = below.select("suffix", ((F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * F.col("d") * F.coalesce("q", F.lit(FLOOR))) / F.col("c")).alias("p"))
         backoff = written(found, "backoff")
-    shared = top.where(F.col("n1") + F.col("n0") >= MIN_COUNT).join(contexts, "context").join(backoff.select(F.col("suffix").alias("s"), "p"), F.expr("substring(gram, 2) = s"), "left")
+    shared = top.join(contexts, "context").join(backoff.select(F.col("suffix").alias("s"), "p"), F.expr("substring(gram, 2) = s"), "left")
 
     def smoothed(n: Column, c: Column, d: Column, below: Column) -> Column:
         return F.when(c == 0, below).otherwise((F.greatest(n - discount, F.lit(0.0)) + discount * d * below) / c)
@@ -98,39 +109,102 @@ def gram_ratios(words: DataFrame, order: int = ORDER, discount: float = DISCOUNT
     # Of the top order too: both classes back off to what they have in common.
     both = smoothed(F.col("n1") + F.col("n0"), F.col("c1") + F.col("c0"), F.col("d"), F.coalesce("p", F.lit(FLOOR)))
     likelihood = [smoothed(F.col(f"n{y}"), F.col(f"c{y}"), F.col(f"d{y}"), F.col("both")) for y in (0, 1)]
-    return shared.withColumn("both", both).select("gram", F.log(likelihood[1] / likelihood[0]).alias("ratio"), (F.col("n1") + F.col("n0")).alias("weight"))
+    grams = shared.withColumn("both", both).select(F.lit(SEEN).alias("kind"), "gram", F.log(likelihood[1] / likelihood[0]).alias("ratio"))
+    weight = [F.when(F.col(f"c{y}") > 0, discount * F.col(f"d{y}") / F.col(f"c{y}")).otherwise(1.0) for y in (0, 1)]
+    return grams.unionByName(contexts.select(F.lit(CONTEXT).alias("kind"), F.col("context").alias("gram"), F.log(weight[1] / weight[0]).alias("ratio")))
+
+
+def _letters(text: str) -> np.ndarray:
+    return mixed(np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4").astype(_U) + _U(1))
+
+
+def hashed(table: DataFrame) -> DataFrame:
+    """(key, ratio) of the model's table: a hash of kind and gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(1).to_pylist()
+            ends = np.cumsum([len(g) for g in grams], dtype=np.int64)
+            starts = np.append(0, ends[:-1]) if len(ends) else ends
+            keys = sequence_hashes(_letters("".join(grams)), starts, ends) if len(ends) else np.zeros(0, _U)
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(keys + batch.column(0).to_numpy().astype(_U)).view(np.int64)), batch.column(2).cast(pa.float32())], names=["key", "ratio"])
+
+    return table.mapInArrow(run, "key bigint, ratio float")
+
+
+@dataclass
+class Model:
+    """A model's entries in the order of their keys (as unsigned numbers)."""
+
+    keys: np.ndarray
+    ratios: np.ndarray
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios, and which keys are there at all."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return np.where(known, self.ratios[at], 0.0), known
+
+
+def collected(table: DataFrame) -> Model:
+    """The model of a table of at most MODEL_LIMIT entries."""
+    rows = hashed(table).toArrow()
+    keys = rows["key"].to_numpy().view(_U)
+    order = np.argsort(keys)
+    return Model(keys[order], rows["ratio"].to_numpy()[order])
+
+
+def word_keys(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each character of the words (marks included, but for the first) the key of its gram and of
+    the gram's context, and where each word's begin."""
+    marked = [f"^{w}$" for w in words]
+    length = np.array([len(m) for m in marked], dtype=np.int64)
+    begin = np.cumsum(length) - length
+    count = length - 1
+    first = np.cumsum(count) - count
+    end = np.repeat(begin - first, count) + np.arange(count.sum()) + 2
+    start = np.maximum(end - order, np.repeat(begin, count))
+    letters = _letters("".join(marked))
+    return mixed(sequence_hashes(letters, start, end) + _U(SEEN)), mixed(sequence_hashes(letters, start, end - 1) + _U(CONTEXT)), first
 
 
 class Scorer:
-    """Log ratios of words, from the grams' ratios; keeps those of words it has seen."""
+    """Log ratios of words; keeps those of words it has seen."""
 
     def __init__(self, model: Model, order: int = ORDER) -> None:
         self.model, self.order, self.known = model, order, {}
 
-    def word(self, word: str) -> float:
-        marked, total, model = f"^{word}$", 0.0, self.model
-        for i in range(2, len(marked) + 1):
-            gram = marked[max(0, i - self.order) : i]
-            total += model.get(gram, 0.0)
-        return total
-
-    def text(self, text: str | None) -> tuple[float, float]:
-        """The mean of the words' ratios and the largest mean of a window."""
-        words = _WORD.findall((text or "").lower())
+    def words(self, words: list[str]) -> np.ndarray:
+        """The log ratio of each word: of its grams, and by the backoff weights of those unseen."""
         if not words:
-            return 0.0, 0.0
-        known = self.known
-        found = [known.get(w) for w in words]
-        if None in found:
-            if len(known) + len(words) > CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            found = [known[w] for w in words]
-        total = np.concatenate([[0.0], np.cumsum(found)])
-        size = min(WINDOW, len(words))
-        return float(total[-1] / len(words)), float((total[size:] - total[:-size]).max() / WINDOW)
+            return np.zeros(0)
+        grams, contexts, first = word_keys(words, self.order)
+        ratio, seen = self.model.get(grams)
+        ratio[~seen] = self.model.get(contexts[~seen])[0]
+        return np.add.reduceat(ratio, first)
+
+    def texts(self, texts: list[str | None]) -> list[tuple[float, float]]:
+        """The mean and the peak of each text."""
+        split = [_WORD.findall((t or "").lower()) for t in texts]
+        new = {w for words in split for w in words if w not in self.known}
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = {w for words in split for w in words}
+        fresh = sorted(new)
+        self.known.update(zip(fresh, self.words(fresh).tolist(), strict=True))
+        return [summary(np.array([self.known[w] for w in words])) for words in split]
+
+
+def summary(ratios: np.ndarray) -> tuple[float, float]:
+    """The mean of words' ratios, and the largest sum of WINDOW words, as a mean; a shorter text's
+    words count as a window with as much of nothing."""
+    if not len(ratios):
+        return 0.0, 0.0
+    total = np.concatenate([[0.0], np.cumsum(ratios)])
+    size = min(WINDOW, len(ratios))
+    return float(total[-1] / len(ratios)), float((total[size:] - total[:-size]).max() / WINDOW)
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -147,42 +221,78 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def features(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The kept columns, and mean and peak of the text's log ratios."""
+    """The kept columns, and mean and peak of the text's log ratios, by a model in memory."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.text(t.as_py()) for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "mean", "peak"])
+            for at in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(at, _TEXTS)
+                found = scorer.texts(part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "mean", "peak"])
 
     return docs.select(*keep, "text").mapInArrow(run, f"{types}, mean double, peak double")
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
-    """The grams' ratios and the curve, from the labelled rows that are not held out."""
+def features_by_joins(docs: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
+    """The same by joins: words meet the model's table, then texts their words."""
+    model = hashed(table)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_WORD.findall((t or "").lower()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["at", "words"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            grams, contexts, first = word_keys(words) if words else (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))
+            of = np.repeat(np.arange(len(words)), np.diff(np.append(first, len(grams))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(grams.view(np.int64)), pa.array(contexts.view(np.int64))], names=["word", "gram", "context"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [summary(np.array(x.as_py() or [], dtype=float)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], names=["at", "mean", "peak"])
+
+    rows = written(docs.select(*keep, "text").withColumn("at", F.monotonically_increasing_id()), "texts")
+    words = rows.select("at", "text").mapInArrow(split, "at bigint, words array<string>").select("at", F.posexplode("words").alias("place", "word"))
+    entries = words.select("word").distinct().mapInArrow(keyed, "word string, gram bigint, context bigint")
+    met = entries.join(model.select(F.col("key").alias("gram"), F.col("ratio").alias("own")), "gram", "left").join(model.select(F.col("key").alias("context"), F.col("ratio").alias("backoff")), "context", "left")
+    ratios = met.groupBy("word").agg(F.sum(F.coalesce(F.col("own"), F.col("backoff"), F.lit(0.0)).cast("double")).alias("ratio"))
+    placed = words.join(ratios, "word").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("place", "ratio"))).alias("all"))
+    sums = placed.select("at", F.col("all.ratio").alias("ratios")).mapInArrow(summed, "at bigint, mean double, peak double")
+    return rows.join(sums, "at", "left").select(*keep, F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("peak", F.lit(0.0)).alias("peak"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, limit: int = MODEL_LIMIT) -> tuple[Model | DataFrame, np.ndarray]:
+    """The model (in memory, or as its table beyond the limit) and the curve, from the labelled rows
+    that are not held out."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where("toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(remainder(F.col("doc_id")) != 2)
     # Joined the same way at every size: labels grow with the corpus.
     counted = known.where(remainder(F.col("doc_id")) < 2).hint("merge")
     words = word_counts(texts.where(remainder(F.col("doc_id")) < 2).join(counted, "doc_id"))
-    ratios = gram_ratios(written(words, "words"))
-    kept = ratios.where("abs(ratio) > 0.01").orderBy((F.abs("ratio") * F.sqrt("weight")).desc(), "gram").limit(MODEL_ENTRIES)
-    rows = kept.select("gram", "ratio").toPandas()
-    model = dict(zip(rows["gram"], rows["ratio"], strict=True))
+    table = written(gram_ratios(written(words, "words")), "model")
+    model = collected(table) if table.count() <= limit else table
     sample = known.where(remainder(F.col("doc_id")) == 3).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     fit_on = texts.where(remainder(F.col("doc_id")) == 3).join(F.broadcast(sample), "doc_id")
-    scored = features(fit_on, model, ["toxic"]).toPandas()
-    if scored["toxic"].nunique() < 2:
+    rows = _features(fit_on, model, ["toxic"]).toPandas()
+    if rows["toxic"].nunique() < 2:
         return model, np.zeros(3)
-    return model, _fit(scored[["mean", "peak"]].to_numpy(), scored["toxic"].to_numpy(dtype=float))
+    return model, _fit(rows[["mean", "peak"]].to_numpy(), rows["toxic"].to_numpy(dtype=float))
+
+
+def _features(docs: DataFrame, model: Model | DataFrame, keep: list[str]) -> DataFrame:
+    return features(docs, model, keep) if isinstance(model, Model) else features_by_joins(docs, model, keep)
 
 
-def scored(docs: DataFrame, model: Model, curve: np.ndarray) -> DataFrame:
+def scored(docs: DataFrame, model: Model | DataFrame, curve: np.ndarray) -> DataFrame:
     """doc_id, held_out, score, predicted, and the two log ratios."""
     w = [float(x) for x in curve]
-    rows = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
+    rows = _features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
     score = 1 / (1 + F.exp(-(F.lit(w[0]) + w[1] * F.col("mean") + w[2] * F.col("peak"))))
     return rows.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), "mean", "peak")
 
