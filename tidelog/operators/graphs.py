@@ -122,7 +122,7 @@ def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("vertex"))
 
 
-def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(nation_edges(spark, sf_dir).where(F.col("w") < WEIGHT_CUT))
 
 
@@ -139,7 +139,7 @@ _PRED = f"{_DIST}, pred AS (SELECT n.src, a.dst, min(a.src) AS pred FROM dist n
 
 
 def _every_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    arcs = both_ways(_cut(spark, sf_dir))
+    arcs = both_ways(trades(spark, sf_dir))
     return shortest(arcs, _vertices(spark, sf_dir).select(F.col("vertex").alias("src"))), arcs
 
 
@@ -167,32 +167,36 @@ def unreachable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist.groupBy("src").agg(F.count(F.lit(1)).alias("reached")).join(F.broadcast(all_)).select("src", (F.col("n") - F.col("reached")).alias("unreachable"))
 
 
-_TOURS = f"""{_DIST}, n AS (SELECT n_regionkey::BIGINT AS query_id, n_nationkey::BIGINT AS v, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
+TOURS_SQL = f"""{_DIST}, n AS (SELECT n_regionkey::BIGINT AS query_id, n_nationkey::BIGINT AS v, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
 s AS (SELECT query_id, v FROM n WHERE r = 1), m AS (SELECT query_id, v FROM n WHERE r > 1),
 t AS (SELECT s.query_id, nullif(d1.dist + d2.dist + d3.dist + d4.dist + d5.dist, 0) AS length, [a.v, b.v, c.v, e.v] AS stops FROM s JOIN m a USING (query_id) JOIN m b USING (query_id) JOIN m c USING (query_id) JOIN m e USING (query_id)
 LEFT JOIN dist d1 ON d1.src = s.v AND d1.dst = a.v LEFT JOIN dist d2 ON d2.src = a.v AND d2.dst = b.v LEFT JOIN dist d3 ON d3.src = b.v AND d3.dst = c.v LEFT JOIN dist d4 ON d4.src = c.v AND d4.dst = e.v LEFT JOIN dist d5 ON d5.src = e.v AND d5.dst = s.v
 WHERE a.v NOT IN (b.v, c.v, e.v) AND b.v NOT IN (c.v, e.v) AND c.v <> e.v)"""
 
 
-def _region_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def region_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, source, mids: a tour through all nations of each region, from its first one."""
     regions = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("query_id")).agg(F.sort_array(F.collect_set(F.col("n_nationkey").cast("long"))).alias("all"))
-    asked = regions.select("query_id", F.get("all", F.lit(0)).alias("source"), F.slice("all", 2, F.size("all") - 1).alias("mids"))
-    return tours(both_ways(_cut(spark, sf_dir)), asked)
+    return regions.select("query_id", F.get("all", F.lit(0)).alias("source"), F.slice("all", 2, F.size("all") - 1).alias("mids"))
 
 
-@query(f"WITH {_TOURS} SELECT query_id, coalesce(min(length), {NO_TOUR})::BIGINT AS length FROM t GROUP BY 1")
+def _solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tours(both_ways(trades(spark, sf_dir)), region_tours(spark, sf_dir))
+
+
+@query(f"WITH {TOURS_SQL} SELECT query_id, coalesce(min(length), {NO_TOUR})::BIGINT AS length FROM t GROUP BY 1")
 def tour_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _region_tours(spark, sf_dir).select("query_id", "length")
+    return _solved(spark, sf_dir).select("query_id", "length")
 
 
-@query(f"WITH {_TOURS} SELECT query_id, array_to_string(first(stops ORDER BY length, stops) FILTER (WHERE length IS NOT NULL), ',') AS stops FROM t GROUP BY 1")
+@query(f"WITH {TOURS_SQL} SELECT query_id, array_to_string(first(stops ORDER BY length, stops) FILTER (WHERE length IS NOT NULL), ',') AS stops FROM t GROUP BY 1")
 def tour_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _region_tours(spark, sf_dir).select("query_id", F.array_join("stops", ",").alias("stops"))
+    return _solved(spark, sf_dir).select("query_id", F.array_join("stops", ",").alias("stops"))
 
 
 @query(f"WITH {_DIST} SELECT src AS vertex, min(dst) AS component FROM dist GROUP BY 1")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_vertices(spark, sf_dir), _cut(spark, sf_dir))
+    return components(_vertices(spark, sf_dir), trades(spark, sf_dir))
 
 
 _FOREST = f"""{EDGES_SQL}, ranked AS (SELECT *, row_number() OVER (ORDER BY w, u, v) AS k FROM edges), arcs AS (SELECT u AS src, v AS dst, k AS w FROM ranked UNION ALL SELECT v, u, k FROM ranked),

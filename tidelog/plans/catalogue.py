@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidelog.operators import graphs, hashing, keyvalue, ordering, reports, runs, sketches, texts
+from tidelog.operators import formats, graphs, hashing, keyvalue, ordering, reports, runs, sketches, texts
 from tidelog.plans.registry import QUERIES, SQL, Query
 
-_MODULES = (graphs, hashing, keyvalue, ordering, reports, runs, sketches, texts)
+_MODULES = (formats, graphs, hashing, keyvalue, ordering, reports, runs, sketches, texts)
 
 
 def queries() -> dict[str, Query]:

@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """This session's own folder in the shared one."""
+    base = f"{shared_dir(spark)}/tidelog-loops-{spark.sparkContext.applicationId}"
+    if base not in _registered:
+        _registered.add(base)
+        atexit.register(_delete, spark, base)
+    return base
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, reread.
 
@@ -31,11 +40,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     the estimates of all joins before it, which multiply in a loop. Deleted when Python ends.
     """
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/tidelog-loops-{spark.sparkContext.applicationId}"
-    if base not in _registered:
-        _registered.add(base)
-        atexit.register(_delete, spark, base)
-    path = f"{base}/{uuid.uuid4().hex}"
+    path = f"{scratch_path(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
