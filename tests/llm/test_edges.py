@@ -110,7 +110,7 @@ def test_near_misses_in_blocks(spark):
 
     found = [sorted(map(tuple, components.near_misses(met, facts, labels, compare, block).collect())) for block in (4, 1000)]
     label = {k: x or k for k, _, x in nodes}
-    groups = [{p} | {k for k, _, _ in nodes if k != p and (k + p) % 2} for p in (1, 2)]
+    groups = [{k for k, _, _ in nodes if k != p and (k + p) % 2} for p in (1, 2)]
     value = {k: v for k, v, _ in nodes}
     want = sorted({(a, b) for g in groups for a in g for b in g if a < b and value[a] == value[b] and label[a] != label[b]})
     assert found[0] == found[1] == want

@@ -40,13 +40,12 @@ def connected(links: DataFrame) -> DataFrame:
 def near_misses(met: DataFrame, facts: DataFrame, labels: DataFrame, compare: Compare, block: int = BLOCK) -> DataFrame:
     """The pairs (a, b) that compare gives of nodes with a pivot in common and different labels.
 
-    met has (pivot, node), facts a row for each node. Only pivots whose nodes have several labels
+    met has (pivot, node), each pair of which has been verified, facts a row for each node. Only pivots whose nodes have several labels
     are looked at; their nodes meet in blocks, each block with itself and each other, so that a task
     holds two blocks at once, whatever the number of a pivot's nodes. No row is made for a pair that
     compare drops.
     """
-    all_ = met.select("pivot", "node").unionByName(met.select("pivot", F.col("pivot").alias("node")).distinct())
-    labelled = all_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = met.select("pivot", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = labelled.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi")
     placed = labelled.join(open_.select("pivot", F.ceil(F.col("many") / block).alias("blocks")), "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
