@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import written
@@ -64,25 +64,32 @@ def run_ends(words: np.ndarray, span: int, min_words: int) -> np.ndarray:
 
 
 def runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(run, doc_id, digest, place): a row for each run of sentences."""
+    """(run, doc_id, digest, place, again): a row for each run of sentences; again where an earlier
+    place of the run is in the same batch, so that of a run that very many documents have each batch
+    has one row to compare with the others."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, places = [], []
+            hashes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for text in batch.column(2):
                 found, words, _, _ = sentences(text.as_py())
                 to = run_ends(words, span, min_words)
                 at = np.arange(len(to))
                 hashes.append(sequence_hashes(found, at, to).view(np.int64))
-                places.append(at.astype(np.int32))
-            at = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
-            empty = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(hashes or empty)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(places or empty).astype(np.int32))],
-                names=["run", "doc_id", "digest", "place"],
-            )
-
-    return _keyed(docs).mapInArrow(read, "run bigint, doc_id bigint, digest bigint, place int")
+                places.append(at)
+            row = np.repeat(np.arange(len(hashes) - 1), [len(h) for h in hashes[1:]])
+            run, place = np.concatenate(hashes), np.concatenate(places)
+            doc_id, digest = batch.column(0).fill_null(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            some = ~batch.column(0).is_null().to_numpy(zero_copy_only=False)[row]
+            order = np.lexsort((place, digest, doc_id, some, run))
+            first = np.flatnonzero(np.append(True, run[order][1:] != run[order][:-1])) if len(run) else row
+            at = order[np.repeat(first, np.diff(np.append(first, len(run))))]  # the run's first row, for each
+            again = np.zeros(len(run), dtype=bool)
+            again[order] = (place[order] != place[at]) | (digest[order] != digest[at]) | (doc_id[order] != doc_id[at]) | (some[order] != some[at])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(run), batch.column(0).take(at), batch.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(again)], names=["run", "doc_id", "digest", "place", "again"])
+
+    return _keyed(docs).mapInArrow(read, "run bigint, doc_id bigint, digest bigint, place int, again boolean")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -92,8 +99,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, digest, places): where each document's non-first repeated runs begin."""
     found = written(runs(docs, span, min_words), "runs")
-    first = found.groupBy("run").agg(F.min(F.struct("doc_id", "digest", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = found.join(first, "run").where(~F.struct("doc_id", "digest", "place").eqNullSafe(F.col("first")))
+    # Equal rows of a repeated document have one rank.
+    order = Window.partitionBy("run").orderBy(F.col("doc_id").asc_nulls_first(), "digest", "place")
+    later = found.where("NOT again").select("run", "doc_id", "digest", "place").withColumn("rank", F.rank().over(order)).where("rank > 1")
+    again = found.where("again").select("doc_id", "digest", "place").unionByName(later.select("doc_id", "digest", "place"))
     return again.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
