@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.operators.keyvalue import with_previous
 from tidelog.operators.ordering import ranked
 from tidelog.plans.registry import query
+from tidelog.sources.scratch import checkpointed
 from tidelog.sources.tables import OPLOG_SQL, oplog, table
 
 BUCKETS, HALF = 10, 5000
@@ -15,12 +16,17 @@ BUCKETS, HALF = 10, 5000
 BLOCK = 4096
 
 
-def lives(log: DataFrame) -> DataFrame:
-    """key, start, stop: from the put that finds the key absent to its delete (null: still there)."""
+def marked(log: DataFrame) -> DataFrame:
+    """seq, key, op, there (whether the key is there before), start (seq, where a put begins a life)."""
     there = F.coalesce(F.col("previous.op") == "put", F.lit(False))
-    marked = with_previous(log).withColumn("there", there)
-    starts = marked.where("op = 'put' AND NOT there").select("key", F.col("seq").alias("start"))
-    stops = marked.where("op = 'del' AND there").select("key", F.col("seq").alias("stop"))
+    return with_previous(log).select("seq", "key", "op", there.alias("there"), F.when((F.col("op") == "put") & ~there, F.col("seq")).alias("start"))
+
+
+def lives(operations: DataFrame) -> DataFrame:
+    """key, start, stop of marked operations: from the put that finds the key absent to its delete
+    (null: still there)."""
+    starts = operations.where("start IS NOT NULL").select("key", "start")
+    stops = operations.where("op = 'del' AND there").select("key", F.col("seq").alias("stop"))
     # A key's lives don't overlap: the n-th start belongs to the n-th stop.
     order = Window.partitionBy("key")
     a = starts.withColumn("n", F.row_number().over(order.orderBy("start")))
@@ -55,12 +61,10 @@ def earlier_ends(ended: DataFrame, asked: DataFrame, block: int = BLOCK) -> Data
 def bucket_search(log: DataFrame) -> DataFrame:
     """seq, key, bucket, found, chain_index of each get: how many keys of the bucket that are there
     began to live before it, which is how many began before less how many of these have ended."""
-    there = F.coalesce(F.col("previous.op") == "put", F.lit(False))
-    begun = with_previous(log).withColumn("start", F.when((F.col("op") == "put") & ~there, F.col("seq"))).withColumn("there", there).drop("previous")
-    gets = begun.where("op = 'get' AND there").select("seq")
-    mine = with_previous(begun.select("seq", "key", "op", "value", "start"), mark=F.col("start")).where("op = 'get'")
-    mine = mine.join(gets, "seq").select("seq", F.col("previous").alias("mine"), F.pmod("key", F.lit(BUCKETS)).alias("bucket"))
-    lived = lives(log).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
+    operations = checkpointed(marked(log))
+    own = with_previous(operations.select("seq", "key", "op", F.col("there").alias("value"), "start"), mark=F.col("start")).where("op = 'get' AND value")
+    mine = checkpointed(own.select("seq", F.col("previous").alias("mine"), F.pmod("key", F.lit(BUCKETS)).alias("bucket")))
+    lived = checkpointed(lives(operations).withColumn("bucket", F.pmod("key", F.lit(BUCKETS))))
     # How many lives of the bucket begin before a life does: its place among them.
     order = ranked(lived.select("bucket", "start"), "bucket", "start")
     first = order.groupBy("bucket").agg(F.min("rank").alias("first"))
@@ -73,7 +77,7 @@ def bucket_search(log: DataFrame) -> DataFrame:
 
 def bucket_display(log: DataFrame) -> DataFrame:
     """bucket, chain_index, key, value of what is there at the end; empty buckets give no row."""
-    alive = lives(log).where("stop IS NULL")
+    alive = lives(marked(log)).where("stop IS NULL")
     values = log.where("op = 'put'").groupBy("key").agg(F.max_by("value", "seq").alias("value"))
     bucket = F.pmod("key", F.lit(BUCKETS)).alias("bucket")
     order = Window.partitionBy("bucket").orderBy("start")
