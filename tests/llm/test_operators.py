@@ -280,18 +280,21 @@ def edits(a, b):
     return row[-1]
 
 
-def test_edit_similarity():
-    rng = random.Random(1)
-    for _ in range(400):
-        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 40)))
+def test_edit_similarity(spark):
+    rng, pairs = random.Random(1), []
+    for _ in range(300):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(10, 80)))
         b = list(a)
         for _ in range(rng.randrange(0, 7)):
             at = rng.randrange(len(b) + 1)
             b[at : at + rng.randrange(2)] = rng.choice(["", "x", "ab"])
-        b = "".join(b)
-        for p in (50, 80, 90):
-            longest = max(len(a), len(b))
-            assert line_dedup.similar_lines(a, b, p) == (edits(a, b) <= (100 - p) * longest // 100), (a, b, p)
+        pairs.append((a, "".join(b)))
+    texts = spark.createDataFrame([(2 * k + side, pair[side], len(pair[side])) for k, pair in enumerate(pairs) for side in (0, 1)], "node long, words string, size long")
+    got = {r.a // 2 for r in line_dedup.verified(spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(300)], "a long, b long"), texts).collect()}
+    assert got == {k for k, (a, b) in enumerate(pairs) if edits(a, b) <= 10 * max(len(a), len(b)) // 100}
+    for a, b in pairs:  # what the counts rule out isn't similar
+        apart = line_dedup.changed(line_dedup.cell_counts(a)[None], line_dedup.cell_counts(b))[0]
+        assert apart <= 4 * edits(a, b)
 
 
 def test_line_dedup(spark):
@@ -315,7 +318,7 @@ def test_line_dedup(spark):
     for i, (_, _, x) in enumerate(places):
         for j in range(i):
             y = places[j][2]
-            if label[i] != label[j] and (x == y or line_dedup.similar_lines(x, y)):
+            if label[i] != label[j] and (x == y or abs(len(x) - len(y)) <= 10 * max(len(x), len(y)) // 100 and edits(x, y) <= 10 * max(len(x), len(y)) // 100):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if z == old else z for z in label]
     gone = {}
