@@ -37,7 +37,7 @@ def log(spark, ops):
 
 @pytest.mark.parametrize("block", [1, 7, 4096])
 def test_operation_results(log, ops, block, monkeypatch):
-    monkeypatch.setattr(kv.with_previous, "__defaults__", (block,))
+    monkeypatch.setattr(kv.with_previous, "__defaults__", (block, None))
     rows = {r.seq: (r.found, r.result) for r in kv.op_results(log).collect()}
     assert rows == {s: (f, v) for s, f, v in replay(ops)[1]}
 
