@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import free_name, written
+from tidelog.llm.common import ASCII_LOWER, ASCII_UPPER, free_name, written
 from tidelog.llm.shingles import NOT_ALPHANUMERIC, shingle_runs, shingle_set
 
 WIDTH = 5
@@ -173,3 +173,18 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op7_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All hits of all items in all documents."""
     return hits(docs, benchmark)
+
+
+def _words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+_SHINGLES_SQL = f"""CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) END"""
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words_sql("text")} AS w FROM documents),
+b AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark),
+s AS (SELECT rid, doc_id, unnest({_SHINGLES_SQL}) AS x FROM d),
+i AS (SELECT DISTINCT item_id, list_sort({_SHINGLES_SQL}) AS held FROM b WHERE len(w) > 0),
+e AS (SELECT item_id, held, len(held)::BIGINT AS n_item, unnest(held) AS x FROM i)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM s JOIN e USING (x) GROUP BY rid, doc_id, item_id, held, n_item HAVING 100 * count(*) >= {PER_CENT} * n_item"""

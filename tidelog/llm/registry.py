@@ -73,6 +73,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": license_scan.OP2_SQL,
         "op5_quality_rules": quality_rules.OP5_SQL,
+        "op7_decontaminate": decontaminate.OP7_SQL,
         "op8_source_mix": source_mix.OP8_SQL,
         "op10_ngram_join": ngram_join.OP10_SQL,
     }
