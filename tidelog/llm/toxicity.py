@@ -14,9 +14,9 @@ MODEL_LIMIT entries they are broadcast as arrays and texts are scored where they
 that words meet them by joins, with the same result.
 
 A document is compared by its length-normalised log-likelihoods: the mean over all its words, and
-the largest mean over windows of WINDOW words, which doesn't thin out in long texts. A logistic
-curve over both, fitted on a bounded sample of other labelled rows than those counted, gives the
-score.
+the largest mean over windows of WINDOW words, which doesn't thin out in long texts but grows with
+their length by chance. A logistic curve over both and the logarithm of the length, fitted on a
+bounded sample of other labelled rows than those counted, gives the score.
 
 Labelled rows with remainder 2 of crc32(doc_id as text) by 4 are held out: neither counted nor
 fitted. Rows with remainder 0 or 1 are counted, all of them; of rows with remainder 3 at most
@@ -54,6 +54,8 @@ MODEL_LIMIT = 15_000_000
 THRESHOLD = 0.3
 #: Entries of a worker's table of scored words; it starts anew when full.
 CACHE = 500_000
+#: What the curve is over.
+FEATURES = ("mean", "peak", "length")
 #: Texts that are scored at once.
 _TEXTS = 500
 #: Kinds of the model's entries.
@@ -185,8 +187,8 @@ class Scorer:
         ratio[~seen] = self.model.get(contexts[~seen])[0]
         return np.add.reduceat(ratio, first)
 
-    def texts(self, texts: list[str | None]) -> list[tuple[float, float]]:
-        """The mean and the peak of each text."""
+    def texts(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
+        """Mean, peak and length of each text."""
         split = [_WORD.findall((t or "").lower()) for t in texts]
         new = {w for words in split for w in words if w not in self.known}
         if len(self.known) + len(new) > CACHE:
@@ -197,14 +199,14 @@ class Scorer:
         return [summary(np.array([self.known[w] for w in words])) for words in split]
 
 
-def summary(ratios: np.ndarray) -> tuple[float, float]:
-    """The mean of words' ratios, and the largest sum of WINDOW words, as a mean; a shorter text's
-    words count as a window with as much of nothing."""
+def summary(ratios: np.ndarray) -> tuple[float, float, float]:
+    """The mean of words' ratios, the largest sum of WINDOW words, as a mean (a shorter text's words
+    count as a window with as much of nothing), and the logarithm of the number of words."""
     if not len(ratios):
-        return 0.0, 0.0
+        return 0.0, 0.0, 0.0
     total = np.concatenate([[0.0], np.cumsum(ratios)])
     size = min(WINDOW, len(ratios))
-    return float(total[-1] / len(ratios)), float((total[size:] - total[:-size]).max() / WINDOW)
+    return float(total[-1] / len(ratios)), float((total[size:] - total[:-size]).max() / WINDOW), float(np.log1p(len(ratios)))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -221,7 +223,7 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def features(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The kept columns, and mean and peak of the text's log ratios, by a model in memory."""
+    """The kept columns and FEATURES of the text's log ratios, by a model in memory."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
@@ -231,9 +233,9 @@ def features(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for at in range(0, batch.num_rows, _TEXTS):
                 part = batch.slice(at, _TEXTS)
                 found = scorer.texts(part.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "mean", "peak"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array([x[k] for x in found], pa.float64()) for k in range(3))], names=[*keep, *FEATURES])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{types}, mean double, peak double")
+    return docs.select(*keep, "text").mapInArrow(run, f"{types}, mean double, peak double, length double")
 
 
 def features_by_joins(docs: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
@@ -255,7 +257,7 @@ def features_by_joins(docs: DataFrame, table: DataFrame, keep: list[str]) -> Dat
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [summary(np.array(x.as_py() or [], dtype=float)) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], names=["at", "mean", "peak"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], pa.float64()) for k in range(3))], names=["at", *FEATURES])
 
     rows = written(docs.select(*keep, "text").withColumn("at", F.monotonically_increasing_id()), "texts")
     words = rows.select("at", "text").mapInArrow(split, "at bigint, words array<string>").select("at", F.posexplode("words").alias("place", "word"))
@@ -263,8 +265,8 @@ def features_by_joins(docs: DataFrame, table: DataFrame, keep: list[str]) -> Dat
     met = entries.join(model.select(F.col("key").alias("gram"), F.col("ratio").alias("own")), "gram", "left").join(model.select(F.col("key").alias("context"), F.col("ratio").alias("backoff")), "context", "left")
     ratios = met.groupBy("word").agg(F.sum(F.coalesce(F.col("own"), F.col("backoff"), F.lit(0.0)).cast("double")).alias("ratio"))
     placed = words.join(ratios, "word").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("place", "ratio"))).alias("all"))
-    sums = placed.select("at", F.col("all.ratio").alias("ratios")).mapInArrow(summed, "at bigint, mean double, peak double")
-    return rows.join(sums, "at", "left").select(*keep, F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("peak", F.lit(0.0)).alias("peak"))
+    sums = placed.select("at", F.col("all.ratio").alias("ratios")).mapInArrow(summed, "at bigint, mean double, peak double, length double")
+    return rows.join(sums, "at", "left").select(*keep, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, limit: int = MODEL_LIMIT) -> tuple[Model | DataFrame, np.ndarray]:
@@ -281,8 +283,8 @@ def fitted(docs: DataFrame, labels: DataFrame, limit: int = MODEL_LIMIT) -> tupl
     fit_on = texts.where(remainder(F.col("doc_id")) == 3).join(F.broadcast(sample), "doc_id")
     rows = _features(fit_on, model, ["toxic"]).toPandas()
     if rows["toxic"].nunique() < 2:
-        return model, np.zeros(3)
-    return model, _fit(rows[["mean", "peak"]].to_numpy(), rows["toxic"].to_numpy(dtype=float))
+        return model, np.zeros(1 + len(FEATURES))
+    return model, _fit(rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(dtype=float))
 
 
 def _features(docs: DataFrame, model: Model | DataFrame, keep: list[str]) -> DataFrame:
@@ -290,13 +292,13 @@ def _features(docs: DataFrame, model: Model | DataFrame, keep: list[str]) -> Dat
 
 
 def scored(docs: DataFrame, model: Model | DataFrame, curve: np.ndarray) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the two log ratios."""
+    """doc_id, held_out, score, predicted, and what the score is made of."""
     w = [float(x) for x in curve]
     rows = _features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
-    score = 1 / (1 + F.exp(-(F.lit(w[0]) + w[1] * F.col("mean") + w[2] * F.col("peak"))))
-    return rows.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), "mean", "peak")
+    score = 1 / (1 + F.exp(-sum((x * F.col(c) for x, c in zip(w[1:], FEATURES, strict=True)), F.lit(w[0]))))
+    return rows.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), *FEATURES)
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's columns, then the log ratios."""
+    """The contract's columns, then what the score is made of."""
     return scored(docs, *fitted(docs, labels))
