@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.hashes import mix32, murmur3_words
 from tidelog.operators import graphs, hashing, ordering, reports, runs, sketches, texts
+from tidelog.plans import catalogue
 from tidelog.sources import textfiles
 
 
@@ -178,3 +179,26 @@ def test_search_beyond_the_broadcast(spark):
     needles = spark.createDataFrame([(1, "bc"), (2, "z"), (3, "x")], "item_id long, needle string")
     for limit in (0, 10):
         assert sorted((r.doc_id, r.item_id) for r in texts.search(docs, needles, limit).collect()) == [(1, 1), (4, 1), (4, 3)]
+
+
+def test_gates_count_without_a_row_for_each_probe(spark):
+    # Two ranges in one run, keys in no asked range, a run that is asked for nothing and a null key.
+    entries = spark.createDataFrame([(1, k) for k in (3, 4, 20, 700)] + [(2, k) for k in (5, 9)] + [(3, 900)] + [(None, None)], "run long, key long")
+    asked = spark.range(1, 60).withColumnRenamed("id", "key")
+    ranges = {1: [*range(1, 15), *range(15, 30)], 2: range(1, 15)}
+    probes = {}
+    for r in sketches.probe_bits(spark.createDataFrame([(k,) for k in [*range(1, 60), 700, 900]], "key long"), 80).collect():
+        probes.setdefault(r.key, set()).add(r.bit)
+    held = {1: {3, 4, 20, 700}, 2: {5, 9}}
+    want = []
+    for run, keys in held.items():
+        ones = set().union(*(probes[k] for k in keys))
+        passed = [k for k in ranges[run] if probes[k] <= ones]
+        want.append((run, len(passed), len([k for k in passed if k not in keys])))
+    got = sketches.gate_counts(sketches.run_filters(sketches.mixed_bits(entries)), sketches.mixed_bits(asked))
+    assert sorted(map(tuple, got.collect())) == want
+    # The keys asked for never become rows: the join gives a row for each run and range.
+    for name in ("bloom_false_positives", "bloom_run_gate"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        after = plan[: plan.index("Join")]
+        assert "Generate" not in after and "hit" in after, name
