@@ -344,6 +344,31 @@ def test_line_dedup_finds_edited_lines(spark):
     assert got <= {2 * k + 1 for k in range(300)} and len(got) >= 290
 
 
+def test_line_dedup_links_all_lines_that_share_two_blocks(spark):
+    rng = random.Random(5)
+    lines = []
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefghij  ") for _ in range(80)).strip()
+        for _ in range(6):
+            changed = list(base)
+            for at in rng.sample(range(1, len(base) - 1), 4):
+                changed[at] = rng.choice("uvwxyz")
+            lines.append(" ".join("".join(changed).split()))
+    blocks = []
+    for x in lines:
+        _, _, begin, end, spelled = line_dedup.normalised(x)
+        blocks.append(set(line_dedup.line_blocks(spelled, begin, end)[1].tolist()))
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i - i % 6, i):
+            if label[i] != label[j] and len(blocks[i] & blocks[j]) >= 2 and line_dedup.similar_lines(lines[i], lines[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if z == old else z for z in label]
+    got = {r.doc_id for r in line_dedup.op1_line_dedup(frame(spark, [(k, x, "a") for k, x in enumerate(lines)])).collect()}
+    want = {k for k, first in enumerate(label) if k != first}
+    assert len(want) > 10 and want <= got
+
+
 def test_line_dedup_takes_short_lines(spark):
     docs = [(k, f"share this\n{k} {WORDS[k]} of {WORDS[k + 7]}\nOK.\n\n--", "a") for k in range(0, 200, 10)]
     got = {r.doc_id: r.removed for r in line_dedup.op1_line_dedup(frame(spark, docs)).collect()}

@@ -186,16 +186,10 @@ def _all_elements(buckets: int, width: int):
     return run
 
 
-def _id_type(buckets: int) -> str:
-    """What holds an element's number: its bucket, then its place among the bucket's shared elements,
-    of which there are at most 2^23: two nodes have each of the bucket's keys (packing.BUCKET_KEYS)."""
-    return "<u4" if buckets <= 512 else "<u8"
-
-
 def _homeward(buckets: int):
     """Numbers the elements that two or more nodes have and sends them back to their nodes: a row for
     each range of nodes."""
-    kind = _id_type(buckets)
+    kind = packing.id_type(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, given = -1, 0
@@ -235,7 +229,7 @@ def coarse(cells: np.ndarray) -> np.ndarray:
 
 def _gathered(buckets: int, per_cent: int):
     """The sets of nodes that can be similar to any other: their shared elements' numbers, sorted."""
-    kind = _id_type(buckets)
+    kind = packing.id_type(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -384,7 +378,7 @@ def _near_misses(group: pa.Table, sides: bool, per_cent: int) -> Iterator[tuple[
 def node_labels(docs: DataFrame, found: DataFrame, width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
     """node, label of the components of similar nodes; a node that is alone may be absent."""
     buckets = packing.bucket_count(found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
-    kind = _id_type(buckets)
+    kind = packing.id_type(buckets)
     sets = shared_sets(docs, buckets, width, per_cent)
     met = pivot_pairs(sets, kind, per_cent)
     near = met.where("near").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
