@@ -54,7 +54,7 @@ FEWEST = ((96, 3), (24, 2), (0, 1))
 #: many for sets with at least one element to a cell even then.
 CELLS, FINE = 128, 8
 #: Elements that a task packs at once, and sets that it remembers to have packed.
-_CHUNK = 1_000_000
+_CHUNK = 250_000
 _SEEN = 200_000
 _U = np.uint64
 _SETS = "node bigint, n bigint, share bigint, elements binary, cells binary"
