@@ -297,6 +297,34 @@ def test_edit_similarity(spark):
         assert apart <= 4 * edits(a, b)
 
 
+
+def test_many_pairs_are_verified_at_once(monkeypatch):
+    rng = random.Random(11)
+
+    def edited(x: str) -> str:
+        for _ in range(rng.randrange(max(2, len(x) // 6))):
+            at = rng.randrange(len(x) + 1)
+            x = x[:at] + rng.choice(["", "a", "\u00e9", "\u6f22b"]) + x[at + rng.randrange(2) :]
+        return x
+
+    a = ["".join(rng.choices("abcd efg", k=rng.choice([rng.randrange(1, 140), rng.randrange(100, 700)]))) for _ in range(600)]
+    b = [edited(x) for x in a]
+    want = [line_dedup.similar_lines(x, y) for x, y in zip(a, b, strict=True)]
+    assert 100 < sum(want) < 550
+    monkeypatch.setattr(line_dedup, "ALONE", 1)
+    assert line_dedup.similar_pairs(a, b).tolist() == want
+    monkeypatch.setattr(line_dedup, "LETTER_PLACES", 500)
+    assert line_dedup.similar_pairs(a, b).tolist() == want
+
+
+def test_counts_rule_out_no_similar_pair():
+    rng = random.Random(12)
+    lines = ["".join(rng.choices("abc ", k=rng.randrange(1, 900))) for _ in range(60)] + ["ab" * 400, "ab" * 410]
+    rough = line_dedup.rough_counts(lines)
+    assert all((line_dedup.cell_counts(x).reshape(-1, line_dedup.ROUGH).sum(axis=1) == row).all() for x, row in zip(lines, rough, strict=True))
+    least = line_dedup.rough_least(rough)
+    assert all((least[k] <= line_dedup.changed(rough, rough[k])).all() for k in range(len(lines)))
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     base = [prose(rng, 30) for _ in range(5)]
