@@ -196,6 +196,20 @@ def test_token_ids_of_another_tokenizer():
         assert np.frombuffer(other(text), dtype="<u4").tolist() == other.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+
+def test_encoder_splits_signs_and_capitals_as_the_whole_text():
+    encoder = token_planes.Encoder(token_planes.default_tokenizer())
+    # A capital with a combining mark has no composed form, its small letter has one.
+    texts = ["H\u0331ab", "\u00c9t\u00e9.*** \u00d7a \u00deorn, \u00dcbung%%%", "ALL!! word$$$ a\u0307.", "x<|endoftext|> y|> don't! e= e\u0338="]
+    for text in texts:
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder(text) == np.asarray(ids, dtype="<u4").tobytes()
+
+
+def test_encoder_keeps_what_earlier_tasks_encoded():
+    path = token_planes.default_tokenizer()
+    assert token_planes._encoder(path) is token_planes._encoder(path)
+
 def test_span_dedup(spark):
     rng = random.Random(8)
     sentence = lambda n: prose(rng, n).capitalize() + "."

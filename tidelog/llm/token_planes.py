@@ -77,8 +77,8 @@ class Encoder:
     """Ids of whole texts; by chunks for a tokenizer that never joins over a blank or a line end.
 
     word_bpe_49k drops white space before it splits and lower-cases by character, so the ids of
-    a text are those of its chunks between blanks in turn, a first ASCII capital counts as its
-    small letter, and a comma or full stop after a letter is a token of its own. What isn't
+    a text are those of its chunks between blanks in turn, a first capital counts as its
+    small letter, and the signs after a last letter are tokens of their own. What isn't
     known yet is encoded by the library: plain words by its model alone, other chunks whole and
     many at a time, joined by a special token at whose id the result is cut again. Texts for a
     tokenizer of other steps are encoded whole.
@@ -133,6 +133,12 @@ class Encoder:
             at = end + 1
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker: what a task has encoded the next one needn't."""
+    return Encoder(path)
+
+
 def _visible() -> dict[int, int]:
     """The byte-level alphabet: bytes without a visible character stand for those from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -142,14 +148,24 @@ def _visible() -> dict[int, int]:
 _VISIBLE = _visible()
 
 
+#: Signs that may end a chunk: what follows the last letter of a chunk is a token group of its own. An
+#: apostrophe begins groups with letters, and the special tokens have the signs that are left out.
+_SIGNS = "!#$%&*+,-./:;=?@)]}~"
+
+
 def _parts(chunk: str) -> tuple[str, ...]:
-    """The chunk without its first ASCII capital, and its last comma or full stop apart, unless what is
-    before it doesn't end in a letter once in lower case: a combining mark joins the stop."""
-    if "A" <= chunk[0] <= "Z":
-        chunk = chunk[0].lower() + chunk[1:]
-    if chunk[-1] in ",." and len(chunk) > 1 and chunk[-2].isalpha() and chunk[-2].lower()[-1].isalpha():
-        return chunk[:-1], chunk[-1]
-    return (chunk,)
+    """The chunk without a first capital (ASCII or Latin-1), in lower case if the word is of ASCII letters,
+    and the signs at its end apart, unless what is before them doesn't end in a letter once in lower case:
+    a combining mark joins a sign, and may join a small letter alone, so that a capital before it stays."""
+    word = chunk.rstrip(_SIGNS)
+    signs = chunk[len(word) :]
+    if signs and not (word and word[-1].isalpha() and word[-1].lower()[-1].isalpha()):
+        word, signs = chunk, ""
+    if word.isascii() and word.isalpha():
+        word = word.lower()
+    elif ("A" <= word[0] <= "Z" or "\u00c0" <= word[0] <= "\u00de" and word[0] != "\u00d7") and (word[1:2].isascii() or word[1].isalpha()):
+        word = word[0].lower() + word[1:]
+    return (word, signs) if signs else (word,)
 
 
 def to_planes(ids: np.ndarray, planes: int = 4, level: int = 3) -> list[bytes]:
@@ -190,7 +206,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, shard = _encoder(path), TaskContext.get().partitionId(), 0
         doc_ids, counts, stream, size, first = [], [], [], 0, 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
