@@ -411,6 +411,55 @@ def test_line_dedup_links_all_lines_that_share_two_blocks(spark):
     assert len(want) > 10 and want <= got
 
 
+def test_runs_rule_out_no_similar_pair_but_unlike_prose():
+    rng = random.Random(21)
+    parts = ["th", "on", "er", "an", "in", "the", "ti", "st", "ou", "re", "nd", "ea", "at", "es", "ed", "or"]
+    prose_of = lambda: " ".join("".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(240))
+    lines = [prose_of() for _ in range(12)]
+    bounds = [(a, b) for a in range(12) for b in range(a) if abs(len(lines[a]) - len(lines[b])) <= max(len(lines[a]), len(lines[b])) // 10]
+    a, b = (np.array(x) for x in zip(*bounds, strict=True))
+    pairs = line_dedup.changed(*(np.stack([line_dedup.cell_counts(lines[k]) for k in x]) for x in (a, b))) <= [line_dedup.bound(len(lines[i]), len(lines[j])) for i, j in bounds]
+    assert pairs.sum() > len(a) // 2  # counts of two letters can't tell long prose apart
+    assert 2 * line_dedup.runs_allow(lines, a, b).sum() < pairs.sum()
+    short = ["".join(rng.choices("abc \u00e9", k=rng.randrange(1, 90))) for _ in range(40)]
+    changed = ["".join(c if rng.random() > 0.08 else rng.choice(["", "x", "yz"]) for c in x) or "a" for x in short]
+    for x, y in zip(short, changed, strict=True):
+        counts = line_dedup.run_counts([x, y]).astype(int)
+        assert abs(counts[0] - counts[1]).sum() <= 2 * line_dedup.RUN * edits(x, y)
+        assert line_dedup.runs_allow([x, y], np.array([0]), np.array([1]))[0] or not line_dedup.similar_lines(x, y)
+
+
+@pytest.mark.parametrize("listed", [1, 48])
+def test_company_links_connect_what_is_similar(monkeypatch, listed):
+    monkeypatch.setattr(line_dedup, "LISTED", listed)
+    rng = random.Random(22)
+    words, pivot, begin = [], [], []
+    for c in range(30):
+        begin.append(len(words))
+        bases = ["".join(rng.choices("abcdefgh  ", k=rng.randrange(60, 90))) for _ in range(1 + c % 3)]
+        for k in range(1 + rng.randrange(12)):
+            x = list(bases[k % len(bases)])
+            for at in rng.sample(range(len(x)), rng.randrange(6)):
+                x[at] = rng.choice("uvwxyz")
+            words.append("".join(x))
+            pivot.append(begin[-1])
+    node = np.arange(len(words))
+
+    def groups(links):
+        label = list(range(len(words)))
+        for i, j in links:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if z == old else z for z in label]
+        return label
+
+    a, b, sure = line_dedup.company_links(np.array(begin), node, np.array(pivot), words, {})
+    got = [(i, j) for i, j, k in zip(a.tolist(), b.tolist(), sure.tolist(), strict=True) if k or line_dedup.similar_lines(words[i], words[j])]
+    assert all(pivot[i] == pivot[j] and line_dedup.similar_lines(words[i], words[j]) for i, j in got)
+    want = [(i, j) for i in range(len(words)) for j in range(i) if pivot[i] == pivot[j] and line_dedup.similar_lines(words[i], words[j])]
+    assert groups(got) == groups(want) and len(set(groups(want))) > 40
+    assert sure.all() or listed > 1
+
+
 def test_line_dedup_takes_short_lines(spark):
     docs = [(k, f"share this\n{k} {WORDS[k]} of {WORDS[k + 7]}\nOK.\n\n--", "a") for k in range(0, 200, 10)]
     got = {r.doc_id: r.removed for r in line_dedup.op1_line_dedup(frame(spark, docs)).collect()}
