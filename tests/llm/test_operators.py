@@ -1,6 +1,7 @@
 """The operators against brute force over small fixtures, with the unusual rows among them."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, source_mix, span_dedup, token_planes, toxicity
+from tidelog.llm import components, decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, source_mix, span_dedup, token_planes, toxicity
 from tidelog.llm.shingles import shingle_set
 
 SCHEMA = "doc_id long, text string, source string, size long, `row` string, node string, key int"
@@ -411,6 +412,30 @@ def test_line_dedup_links_all_lines_that_share_two_blocks(spark):
     assert len(want) > 10 and want <= got
 
 
+def test_line_dedup_goes_in_rounds_and_deletes_what_it_has_read(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = []
+    for k in range(8):
+        base = prose(rng, 24).split(" ")
+        for j in range(12):
+            words = list(base)
+            words[rng.randrange(24)] = f"x{rng.randrange(99)}"
+            docs.append((12 * k + j, " ".join(words), "a"))
+    want = sorted(line_dedup.op1_line_dedup(frame(spark, docs)).collect())
+    assert 60 < len(want) < 96
+    names, write = [], line_dedup.written
+    for module in (line_dedup, components):
+        monkeypatch.setattr(module, "written", lambda df, name, *by: names.append(name) or write(df, name, *by))
+    monkeypatch.setattr(line_dedup, "LEAST_ROUND", 1 << 15)
+    monkeypatch.setattr(line_dedup, "MISSES", 4)
+    base = f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/tidelog-{spark.sparkContext.applicationId}"
+    before = set(os.listdir(base))
+    assert sorted(line_dedup.op1_line_dedup(frame(spark, docs)).collect()) == want
+    assert names.count("pairs") > 2 and names.count("links") > 2
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before}
+    assert "lines" in left and not left & {"blocks", "shared-blocks", "pairs", "candidates", "wanted", "line-texts", "dealt", "close-pairs", "edges"}
+
+
 def test_runs_rule_out_no_similar_pair_but_unlike_prose():
     rng = random.Random(21)
     parts = ["th", "on", "er", "an", "in", "the", "ti", "st", "ou", "re", "nd", "ea", "at", "es", "ed", "or"]
