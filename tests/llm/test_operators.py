@@ -332,6 +332,30 @@ def test_many_pairs_are_verified_at_once(monkeypatch):
     assert line_dedup.similar_pairs(a, b).tolist() == want
 
 
+def test_edits_in_wide_bands_are_exact_at_the_limit():
+    rng = random.Random(13)
+    a, b, limits, want = [], [], [], []
+    for letters in ("a", "ab", "abcdefgh "):
+        for _ in range(12):
+            x = "".join(rng.choices(letters, k=rng.randrange(150, 420)))
+            y = list(x)
+            for _ in range(rng.randrange(1, 130)):
+                at = rng.randrange(len(y))
+                y[at : at + rng.randrange(2)] = rng.choice(["", "z", letters])
+            y = "".join(y)
+            least = edits(x, y)
+            for limit in {least - 1, least, least + 70}:
+                if limit >= max(1, abs(len(x) - len(y))) and y:
+                    a.append(x)
+                    b.append(y)
+                    limits.append(limit)
+                    want.append(least <= limit)
+    assert max(limits) > 128 and 20 < sum(want) < len(want) - 20
+    assert line_dedup._few_edits(a, b, np.array(limits)).tolist() == want
+    for k in range(0, len(a), 5):
+        assert line_dedup._few_edits(a[k : k + 1], b[k : k + 1], np.array(limits[k : k + 1])).tolist() == want[k : k + 1]
+
+
 def test_counts_rule_out_no_similar_pair():
     rng = random.Random(12)
     lines = ["".join(rng.choices("abc ", k=rng.randrange(1, 900))) for _ in range(60)] + ["ab" * 400, "ab" * 410]
